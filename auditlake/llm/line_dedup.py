@@ -74,6 +74,6 @@ r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY g ORDER BY doc_id, li
 gone AS (SELECT DISTINCT doc_id, unnest([line, line + 1, line + 2]) AS p FROM r WHERE k > 1),
 n AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1)
 SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(list_filter(l, (x, i) -> NOT coalesce(list_contains(ps, i), false)), chr(10))) AS kept_sha256
+       sha256(array_to_string(list_filter(l, lambda x, i: NOT coalesce(list_contains(ps, i), false)), chr(10))) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id)
 """

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from auditlake.llm import decontaminate, exact_dedup, line_dedup, mixing
+from auditlake.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
@@ -16,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
         "op6_mix_sources": mixing.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
