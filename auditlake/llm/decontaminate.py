@@ -198,16 +198,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, spans: bool = True) -> DataFrame:
     """`docs` without documents that hold windows of `min_items` items or more.
 
-    With `spans`, hit words of the others are cut out of their texts; else those stay as they are.
+    With `spans`, hit words of the others are cut out of their texts, n_chars (if there is such a column) is
+    set anew for these, and a text of nothing else goes; without, they stay as they are. Other rows are not
+    changed. Repeated rows fare alike.
     """
     found = find_contamination(docs, benchmark).filter("size(items) > 0").dropDuplicates(["doc_id", "key"])
-    found = Scratch(docs.sparkSession, "decontaminate").keep(found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("runs").alias("_runs"), F.size("items").alias("_n")))
+    found = Scratch(docs.sparkSession, "decontaminate").keep(
+        found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("runs").alias("_runs"), F.size("items").alias("_n"), (F.col("n_hit") == F.col("n_words")).alias("_all"))
+    )
     keyed = docs.withColumn("_key_of_text", text_key(F.col("text")))
     both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_d"]) & (keyed["_key_of_text"] == found["_k"]), "left").filter(F.coalesce(F.col("_n"), F.lit(0)) < min_items)
     names = docs.columns
     if not spans:
         return both.select(*names)
-    return both.select(*names, "_runs").mapInArrow(_cut, both.select(*names, "_runs").schema).select(*names)
+    both = both.filter(~F.coalesce(F.col("_all"), F.lit(False))).select(*names, "_runs")
+    cut = both.mapInArrow(_cut, both.schema)
+    if "n_chars" in names:
+        cut = cut.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return cut.select(*names)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from auditlake.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup
+import corpus_pipeline
+from auditlake.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, quality, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op3_quality": quality.op3_quality,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_language": language.op8_language,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """The pipeline, the classifiers and near duplicates have none: tests hold them against brute force or held-out rows."""
     return {
         "op1_substring_dedup": substring_dedup.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
