@@ -59,25 +59,26 @@ def uniform(doc_id: Column, text: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, copies, and the columns of `keep`.
+    """One row per input row: doc_id, size, source_size, target, copies, and the columns of `keep`, named
+    with _kept_ before them.
 
     Null texts have no words; a null source is a source of its own, the last. Sources without words have
     target 0 and their documents no copies. Rows that share a doc_id share its draw. Empty in, empty out.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("draw"), *[F.col(k).alias(f"_{k}") for k in keep])
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("draw"), *[F.col(k).alias(f"_kept_{k}") for k in keep])
     small = rows if keep else scratch.keep(rows)
     targets = scratch.keep(source_targets(small if not keep else docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), weights, share, most))
-    t = targets.withColumnRenamed("source", "_source")
-    out = small.join(t, small["source"].eqNullSafe(t["_source"]))
+    t = targets.withColumnRenamed("source", "_of")
+    out = small.join(t, small["source"].eqNullSafe(t["_of"]))
     copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *[F.col(f"_{k}").alias(f"_{k}") for k in keep])
+    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *[F.col(f"_kept_{k}") for k in keep])
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
     taken = plan_mix(docs, keep=tuple(docs.columns)).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"_kept_{c}").alias(c) for c in docs.columns])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
