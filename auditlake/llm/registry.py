@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from auditlake.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, quality, revisits, substring_dedup
+from auditlake.llm import decontaminate, exact_dedup, html_labeller, language, line_dedup, mixing, near_dedup, quality, revisits, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_warc_revisits": revisits.op2_warc_revisits,
         "op3_quality": quality.op3_quality,
+        "op4_main_text": html_labeller.op4_main_text,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_near_dedup": near_dedup.op7_near_dedup,
