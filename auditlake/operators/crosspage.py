@@ -31,7 +31,7 @@ def hash_key() -> Column:
 
 def duplicate_issues(pages: DataFrame) -> DataFrame:
     def of(kind: str, stage: int, key: Column, severity) -> DataFrame:
-        keyed = pages.withColumn("dup_key", key)
+        keyed = pages.select("page_idx", "url", key.alias("dup_key"))
         both = keyed.join(duplicate_groups(pages, key), "dup_key")
         return explode_issues(both, stage, [found(F.lit(True), F.when(F.col("multilingual"), f"{kind}_duplicate_multilingual").otherwise(f"{kind}_duplicate"), severity, F.col("n"), f" pages have the same {kind}.")])
 

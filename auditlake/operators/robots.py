@@ -64,7 +64,7 @@ def decide(pages: DataFrame, rules: DataFrame, site: str = "site", url: str = "u
     p = urls.path(F.col(url))
     target = F.concat(F.when(p == "", F.lit("/")).otherwise(p), F.when(urls.query(F.col(url)) != "", F.concat(F.lit("?"), urls.query(F.col(url)))).otherwise(F.lit("")))
     df = pages.join(rules.withColumnRenamed("site", "_site"), pages[site] == F.col("_site"), "left").withColumn("_target", target)
-    hits = F.filter("rules", lambda r: (r["pattern"] != "") & F.col("_target").rlike(r["regex"]))
+    hits = F.filter("rules", lambda r: (r["pattern"] != "") & F.regexp_like(F.col("_target"), r["regex"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["specificity"], (r["directive"] == "allow").alias("allow"), (-r["pos"]).alias("first"), r["directive"].alias("directive"), r["pattern"].alias("pattern"))))
     df = df.withColumn("_best", best)
     return df.withColumns({"robots_allowed": F.coalesce(F.col("_best.allow"), F.lit(True)), "matched_directive": F.col("_best.directive"), "matched_rule": F.col("_best.pattern")}).drop("_best", "_target", "_site", "rules")
