@@ -1,8 +1,8 @@
 """Compression classifier: two zstandard dictionaries, one of good and one of bad text.
 
 A text is compressed in short blocks with each dictionary; how much smaller it gets with the good one, per
-byte, says which kind of text it resembles. A logistic curve over that difference and over the compressed
-size per byte, fitted on texts the dictionaries have not seen, makes it a probability.
+byte, says which kind of text it resembles. A logistic curve over that difference and over the size
+compressed without a dictionary, fitted on texts the dictionaries have not seen, makes it a probability.
 """
 
 from __future__ import annotations
@@ -30,11 +30,9 @@ THRESHOLD = 0.7
 class Model:
     """dictionaries: (good, bad), or None where a class has too few texts to train on; then `prior` is the score."""
 
-    def __init__(self, dictionaries, weights: list[float], centre: list[float], spread: list[float], prior: float):
+    def __init__(self, dictionaries, weights: list[float], centre: list[float], spread: list[float], low: list[float], high: list[float], prior: float):
         self.dictionaries, self.weights, self.centre, self.spread, self.prior = dictionaries, weights, centre, spread, prior
-
-    def key(self) -> tuple:
-        return self.dictionaries, tuple(self.weights), tuple(self.centre), tuple(self.spread), self.prior
+        self.low, self.high = low, high  # what the curve was fitted on; beyond it stays level
 
 
 @lru_cache(4)
@@ -44,33 +42,36 @@ def _compressors(dictionaries: tuple[bytes, bytes]) -> list:
         d = zstandard.ZstdCompressionDict(raw)
         d.precompute_compress(LEVEL)
         out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+    out.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False))
     return out
 
 
 def _sizes(dictionaries: tuple[bytes, bytes], texts: list[bytes]) -> np.ndarray:
-    """Compressed bytes per byte with either dictionary; each text is taken whole, block by block."""
-    good, bad = _compressors(dictionaries)
-    out = np.zeros((len(texts), 2))
+    """Compressed bytes per byte with the good, the bad and no dictionary; each text is taken whole, block by block."""
+    good, bad, plain = _compressors(dictionaries)
+    out = np.zeros((len(texts), 3))
     for k, t in enumerate(texts):
-        a = b = 0
+        a = b = c = 0
         for i in range(0, len(t), BLOCK_BYTES):
             block = t[i : i + BLOCK_BYTES]
             a += len(good.compress(block))
             b += len(bad.compress(block))
-        out[k] = a / max(len(t), 1), b / max(len(t), 1)
+            c += len(plain.compress(block))
+        out[k] = np.array([a, b, c]) / max(len(t), 1)
     return out
 
 
 def _features(sizes: np.ndarray) -> np.ndarray:
-    gain, level = sizes[:, 1] - sizes[:, 0], np.log(sizes.sum(1) + 1e-3)
-    return np.stack([gain, gain**2, level, level**2], 1)
+    """Gain, which a score can only rise with, and level without a dictionary, low for repetition, high for noise."""
+    gain, level = sizes[:, 1] - sizes[:, 0], np.log(sizes[:, 2] + 1e-3)
+    return np.stack([gain, level, level**2], 1)
 
 
 def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     if model.dictionaries is None:
         out = np.full(len(texts), model.prior)
     else:
-        x = (_features(_sizes(model.dictionaries, texts)) - model.centre) / model.spread
+        x = np.clip((_features(_sizes(model.dictionaries, texts)) - model.centre) / model.spread, model.low, model.high)
         out = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights[1:]) + model.weights[0], -50, 50)))
     out[[not t.strip() for t in texts]] = 0.0
     return out
@@ -81,7 +82,7 @@ def fit(labelled: list[tuple[int, str]]) -> Model:
     by = {y: [t.encode() for label, t in labelled if label == y and t.strip()] for y in (1, 0)}
     n = {y: len(t) for y, t in by.items()}
     prior = n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
-    flat = Model(None, [], [], [], prior)
+    flat = Model(None, [], [], [], [], [], prior)
     if min(n.values()) < 8:
         return flat
     halves = {y: (t[::2], t[1::2]) for y, t in by.items()}
@@ -95,12 +96,14 @@ def fit(labelled: list[tuple[int, str]]) -> Model:
     x = _features(_sizes(tuple(made), halves[1][1] + halves[0][1]))
     y = np.repeat([1.0, 0.0], [len(halves[1][1]), len(halves[0][1])])
     centre, spread = x.mean(0), x.std(0) + 1e-9
-    a = np.column_stack([np.ones(len(x)), (x - centre) / spread])
+    x = (x - centre) / spread
+    a = np.column_stack([np.ones(len(x)), x])
     w, ridge = np.zeros(a.shape[1]), 0.05
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
         w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
-    return Model(tuple(made), w.tolist(), centre.tolist(), spread.tolist(), prior)
+    w[1] = max(w[1], 0.0)
+    return Model(tuple(made), w.tolist(), centre.tolist(), spread.tolist(), x.min(0).tolist(), x.max(0).tolist(), prior)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> Model:
