@@ -153,8 +153,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         merged = hits.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = scratch.keep(merged.mapInArrow(_merge_runs, merged.schema))
         base = parts[0].select("doc_id", "key", "n_words")
-        m = merged.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "runs", "items")
-        found = base.join(m, base["doc_id"].eqNullSafe(m["_d"]) & (base["key"] == m["_k"]), "left").select(
+        m = merged.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "runs", "items")
+        found = base.join(m, base["doc_id"].eqNullSafe(m["__doc"]) & (base["key"] == m["__key"]), "left").select(
             "doc_id", "key", "n_words", F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
         )
     else:
@@ -181,7 +181,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the hit words; each removed span leaves one space."""
     for b in batches:
         out = []
-        for text, runs in zip(b.column("text").to_pylist(), b.column("_runs").to_pylist(), strict=True):
+        for text, runs in zip(b.column("text").to_pylist(), b.column("__runs").to_pylist(), strict=True):
             if runs:
                 raw = text.encode()
                 s = next(iter(slices(pa.array([text], pa.string()))))
@@ -204,17 +204,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, spa
     """
     found = find_contamination(docs, benchmark).filter("size(items) > 0").dropDuplicates(["doc_id", "key"])
     found = Scratch(docs.sparkSession, "decontaminate").keep(
-        found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("runs").alias("_runs"), F.size("items").alias("_n"), (F.col("n_hit") == F.col("n_words")).alias("_all"))
+        found.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("runs").alias("__runs"), F.size("items").alias("__n"), (F.col("n_hit") == F.col("n_words")).alias("__all"))
     )
-    keyed = docs.withColumn("_key_of_text", text_key(F.col("text")))
-    both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_d"]) & (keyed["_key_of_text"] == found["_k"]), "left").filter(F.coalesce(F.col("_n"), F.lit(0)) < min_items)
+    keyed = docs.withColumn("__text_key", text_key(F.col("text")))
+    both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__doc"]) & (keyed["__text_key"] == found["__key"]), "left").filter(F.coalesce(F.col("__n"), F.lit(0)) < min_items)
     names = docs.columns
     if not spans:
         return both.select(*names)
-    both = both.filter(~F.coalesce(F.col("_all"), F.lit(False))).select(*names, "_runs")
+    both = both.filter(~F.coalesce(F.col("__all"), F.lit(False))).select(*names, "__runs")
     cut = both.mapInArrow(_cut, both.schema)
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(*names)
 
 

@@ -76,13 +76,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay (see exact_groups), with all their columns."""
     scratch = Scratch(docs.sparkSession, "exact")
-    stay = scratch.keep(_classes(docs, scratch).filter("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "group_size"))
-    out = docs.withColumn("_key_of_text", text_key(F.col("text")))
-    out = out.join(stay, (out["doc_id"].cast("long").eqNullSafe(stay["_id"])) & (out["_key_of_text"] == stay["_key"]), "left_semi")
+    stay = scratch.keep(_classes(docs, scratch).filter("kept").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "group_size"))
+    out = docs.withColumn("__text_key", text_key(F.col("text")))
+    out = out.join(stay, (out["doc_id"].cast("long").eqNullSafe(stay["__doc"])) & (out["__text_key"] == stay["__key"]), "left_semi")
     same = docs.groupBy("doc_id", text_key(F.col("text")).alias("key")).count().filter("count > 1")
     if not same.isEmpty():  # rows repeated with their doc_id: one of them stays
-        out = out.dropDuplicates(["doc_id", "_key_of_text"])
-    return out.drop("_key_of_text")
+        out = out.dropDuplicates(["doc_id", "__text_key"])
+    return out.drop("__text_key")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

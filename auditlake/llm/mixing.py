@@ -78,7 +78,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
     taken = plan_mix(docs, keep=tuple(docs.columns)).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"_kept_{c}").alias(c) for c in docs.columns])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"_kept_{c}").alias(c) for c in docs.columns])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
