@@ -1,0 +1,424 @@
+"""The operators against brute force, on small tables with nulls, ties, repeats, long texts and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from auditlake.llm import decontaminate, exact_dedup, html_labeller, language, line_dedup, mixing, near_dedup, quality, revisits, substring_dedup
+
+DOCS = "doc_id long, text string, lang string, source string"
+
+
+def words(n, seed, vocabulary=400):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def edited(text, n, seed):
+    rng = random.Random(seed)
+    w = text.split(" ")
+    for k in rng.sample(range(len(w)), n):
+        w[k] = f"x{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    passage, base = words(70, 1), words(300, 2)
+    texts = [None, "", " ", None, "One two THREE", "one TWO three", "É é", "é é", base, base.upper(), passage]
+    texts += [f"{words(30, 10 + k)} {passage} {words(20, 50 + k)}" for k in range(6)]
+    texts += [edited(base, k, k) for k in (1, 2, 3, 5, 8, 20, 60)]
+    texts += [words(20_000, 77), "word " * 500, "a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb\nc\na\nb\nc", "\n\n\n\n", "tab\there\x0bvt\xa0nbsp"]
+    rows = [(k, t, "en", f"s{k % 5}" if k % 7 else None) for k, t in enumerate(texts)]
+    rows += [rows[8], rows[11], (None, "no id", None, None), (None, base, None, "s1")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def with_extras(df):
+    """Columns with the names that operators use themselves."""
+    names = ["key", "row", "group", "size", "n", "_d", "_k", "bucket", "label", "rest", "copies", "rate", "target", "_id"]
+    return df.withColumns({n: F.lit("mine") for n in names})
+
+
+def collected(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def lowered(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or ""))
+
+
+def test_exact_groups_against_brute_force(docs):
+    rows = collected(docs)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[lowered(r["text"])].append(r["doc_id"])
+    for df in (docs, with_extras(docs)):
+        got = collected(exact_dedup.exact_groups(df))
+        assert len(got) == len(rows)
+        want = collections.Counter((r["doc_id"], max((i for i in groups[lowered(r["text"])] if i is not None), default=None), len(groups[lowered(r["text"])]), hashlib.sha256(lowered(r["text"]).encode()).hexdigest()) for r in rows)
+        assert collections.Counter((g["doc_id"], g["keep_id"], g["group_size"], g["text_sha256"]) for g in got) == want
+        assert sum(g["kept"] for g in got) == len(groups)
+    left = collected(exact_dedup.drop_exact_copies(with_extras(docs)))
+    assert len(left) == len(groups) and len({lowered(r["text"]) for r in left}) == len(groups)
+
+
+def test_exact_groups_compare_bytes_beyond_each_digit(spark):
+    long = "q" * 5000
+    rows = [(k, t, None, None) for k, t in enumerate([long, long + "a", long + "b", long, long[:-1], "q" * 128, "q" * 129, "q" * 2176, "q" * 2177])]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in collected(exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS)))}
+    assert got == {k: (k, 1) for k in (1, 2, 4, 5, 6, 7, 8)} | {0: (3, 2), 3: (3, 2)}
+
+
+def brute_substrings(rows, n=50):
+    first = {}
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        i = r["doc_id"] if r["doc_id"] is not None else 1 << 62
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        i = r["doc_id"] if r["doc_id"] is not None else 1 << 62
+        gone = {k + j for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < i for j in range(n)}
+        out.append((r["doc_id"], len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return collections.Counter(out)
+
+
+def test_substrings_against_brute_force(docs):
+    for df in (docs, with_extras(docs)):
+        got = substring_dedup.remove_repeats(df).withColumn("gone", substring_dedup.n_removed(F.col("factors")))
+        assert collections.Counter((r["doc_id"], r["n_words"], r["gone"], r["kept_text"]) for r in collected(got)) == brute_substrings(collected(docs))
+
+
+def test_substrings_of_passages_at_all_offsets(spark):
+    passage = words(120, 5)
+    w = passage.split()
+    rows = [(0, passage, None, None)] + [(k + 1, " ".join([*words(k % 9, k).split(), *w[k : k + 40 + k], *words(7, 99 + k).split()]), None, None) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = substring_dedup.remove_repeats(df).withColumn("gone", substring_dedup.n_removed(F.col("factors")))
+    assert collections.Counter((r["doc_id"], r["n_words"], r["gone"], r["kept_text"]) for r in collected(got)) == brute_substrings(collected(df))
+
+
+def bag(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lowered(t))
+    return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+
+
+def jaccard(a, b):
+    same = sum((a & b).values())
+    return same / (sum(a.values()) + sum(b.values()) - same)
+
+
+def brute_classes(rows):
+    bags, root = [bag(r["text"]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bags[i] and bags[j] and jaccard(bags[i], bags[j]) >= 0.8:
+                root[find(i)] = find(j)
+    classes = collections.defaultdict(list)
+    for k in range(len(rows)):
+        classes[find(k)].append(k)
+    return {frozenset(v) for v in classes.values()}
+
+
+def test_near_duplicates_against_brute_force(docs):
+    rows = collected(docs)
+    got = collected(near_dedup.near_duplicates(with_extras(docs)))
+    assert len(got) == len(rows)
+    sizes = collections.Counter(len(c) for c in brute_classes(rows) for _ in c)
+    assert collections.Counter(g["class_size"] for g in got) == sizes
+    by = {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None}
+    for c in brute_classes(rows):
+        ids = [rows[k]["doc_id"] for k in c]
+        known = [i for i in ids if i is not None]
+        assert all(by[i] == min(known) for i in known)
+    assert len(collected(near_dedup.drop_near_copies(docs))) == len(brute_classes(rows))
+
+
+def test_near_duplicates_of_a_group_without_its_origin(spark):
+    """Copies of one text with few to many changes: only chains of close ones are a class."""
+    base = words(200, 3, 10**6)
+    rows = [(k, edited(base, 1 + k % 12, 1000 + k), None, None) for k in range(120)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = collections.defaultdict(set)
+    for r in collected(near_dedup.near_duplicates(df)):
+        got[r["class_id"]].add(r["doc_id"])
+    assert set(map(frozenset, got.values())) == brute_classes([{"text": t} for _, t, _, _ in rows])
+
+
+def test_signatures_estimate_weighted_jaccard():
+    import pyarrow as pa
+
+    from auditlake.llm._words import slices
+
+    a = words(300, 4, 60)
+    texts = [a, a + " " + words(100, 6, 60), "b b b b b b " * 40, "b b b b b b " * 60]
+    (s,) = slices(pa.array(texts))
+    text, h, count = near_dedup.bags(s, 5)
+    sig = near_dedup.bag_minhash(text, h, count, 4, 4096)
+    for x, y in ((0, 1), (2, 3)):
+        assert abs((sig[x] == sig[y]).mean() - jaccard(bag(texts[x]), bag(texts[y]))) < 0.04
+
+
+def item_windows(t, n):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    return w, [tuple(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] if w else []
+
+
+def brute_contamination(rows, items):
+    windows = [(str(i), set(item_windows(t, 8)[1])) for i, t in items if i is not None]
+    out = []
+    for r in rows:
+        w, _ = item_windows(r["text"], 8)
+        hit, found = set(), set()
+        for i, ws in windows:
+            for x in ws:
+                for k in range(len(w) - len(x) + 1):
+                    if tuple(w[k : k + len(x)]) == x:
+                        hit |= set(range(k, k + len(x)))
+                        found.add(i)
+        out.append((r["doc_id"], len(w), len(hit), tuple(sorted(found))))
+    return collections.Counter(out)
+
+
+def test_contamination_against_brute_force(spark, docs):
+    rows = collected(docs)
+    w = rows[8]["text"].split()
+    items = [(1, " ".join(w[10:30])), (2, "ONE, two; three!"), (10, " ".join(w[15:40])), (3, None), (None, "one two three"), (4, "..."), (5, " ".join(w[200:208])), (5, "word word word word word word word word word"), (6, words(30, 999))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(rows, items)
+    for block_words in (10**6, 12):
+        got = decontaminate.find_contamination(with_extras(docs), bench, block_words=block_words)
+        assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in collected(got)) == want
+    left = collected(decontaminate.decontaminate(docs, bench))
+    for r in left:
+        assert decontaminate.decontaminate is not None and not set(item_windows(r["text"], 8)[1]) & set(item_windows(" ".join(w[10:30]), 8)[1])
+    clean = {d for d, _, n, _ in want if n == 0}
+    assert clean <= {r["doc_id"] for r in left}
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert all(r["n_hit"] == 0 for r in collected(decontaminate.find_contamination(docs, empty)))
+
+
+def test_line_windows_against_brute_force(docs):
+    rows = collected(docs)
+    places = collections.defaultdict(set)
+    # rows that agree in id and text are one place; a null id is the last
+    for r in {(r["doc_id"], r["text"]): r for r in rows}.values():
+        lines = (r["text"] or "").split("\n")
+        for k in range(len(lines) - 2):
+            places[tuple(lines[k : k + 3])].add((r["doc_id"] is None, r["doc_id"] or 0, r["text"], k))
+    want = []
+    for r in rows:
+        lines = (r["text"] or "").split("\n")
+        gone = {k + j for k in range(len(lines) - 2) if min(places[tuple(lines[k : k + 3])]) != (r["doc_id"] is None, r["doc_id"] or 0, r["text"], k) for j in range(3)}
+        want.append((r["doc_id"], len(lines), len(gone), r["text"] if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    got = collected(line_dedup.dedup_lines(with_extras(docs)))
+    assert collections.Counter((g["doc_id"], g["n_lines"], g["n_removed"], g["text"]) for g in got) == collections.Counter(want)
+
+
+def test_line_dedup_plan_has_no_python(docs):
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_mix_reaches_targets(spark):
+    rng = random.Random(1)
+    rows = [(k, words(rng.randrange(1, 60), k), None, rng.choice(["a", "b", "c", "d", None])) for k in range(4000)] + [(None, None, None, "a"), (100_000, "", None, "zz")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = collected(mixing.plan_mix(with_extras(df)))
+    size = collections.Counter()
+    for r in rows:
+        size[r[3]] += len((r[1] or "").split())
+    order = [s for s in sorted((s for s in size if s is not None))] + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(size.values())
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+        open_ -= full
+    target |= {s: level * weight[s] for s in open_}
+    by = {r[0]: r[3] for r in rows}
+    taken = collections.Counter()
+    for g in got:
+        if g["doc_id"] is not None:
+            s = by[g["doc_id"]]
+            assert abs(g["target"] - target[s]) < 1e-6 * max(1, target[s]) and g["copies"] <= 2
+            taken[s] += g["size"] * g["copies"]
+    assert all(abs(taken[s] - target[s]) < 0.08 * target[s] + 1 for s in order)
+    mixed = mixing.mix(with_extras(df))
+    assert mixed.columns == with_extras(df).columns and mixed.count() == sum(g["copies"] for g in got)
+    assert sorted(map(str, collected(mixing.plan_mix(df)))) == sorted(map(str, collected(mixing.plan_mix(df.repartition(3)))))
+
+
+@pytest.mark.parametrize("run", [
+    lambda d, b: exact_dedup.exact_groups(d), lambda d, b: exact_dedup.drop_exact_copies(d), lambda d, b: substring_dedup.remove_repeats(d), lambda d, b: near_dedup.near_duplicates(d), lambda d, b: near_dedup.drop_near_copies(d),
+    lambda d, b: line_dedup.dedup_lines(d), lambda d, b: mixing.plan_mix(d), lambda d, b: mixing.mix(d), lambda d, b: decontaminate.find_contamination(d, b), lambda d, b: decontaminate.decontaminate(d, b),
+    lambda d, b: quality.keep_good(d, b.select(F.col("item_id").alias("doc_id"), F.lit(1).alias("quality"))), lambda d, b: language.identify_language(d, language.fit_on(d)),
+])
+def test_empty_tables_give_empty_results(spark, run):
+    assert run(spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_quality_model_tells_kinds_apart(spark):
+    rng = random.Random(3)
+    good = [(k, " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "and", "slept", "well"]) for _ in range(60)) + ".") for k in range(300)]
+    bad = [(1000 + k, " ".join(rng.choice(["BUY", "NOW!!!", "$$$", "CLICK", "###", "WIN"]) for _ in range(60))) for k in range(300)]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in good + bad] + [(5000, None, None, None), (5001, "", None, None)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit_on(df, labels)
+    got = {r["doc_id"]: r["score"] for r in collected(quality.score_quality(with_extras(df).drop("key"), model))}
+    assert all(0 <= s <= 1 for s in got.values()) and got[5000] == got[5001] == 0
+    assert sum(got[i] >= 0.7 for i, _ in good) >= 297 and sum(got[i] < 0.7 for i, _ in bad) >= 297
+    assert got == {r["doc_id"]: r["score"] for r in collected(quality.score_quality(df, quality.fit_on(df, labels)))}
+    kept = quality.keep_good(with_extras(df), labels)
+    assert kept.columns == with_extras(df).columns and {r["doc_id"] for r in collected(kept)} == {i for i, s in got.items() if s >= 0.7}
+    flat = quality.fit([(1, "only good"), (1, "texts here")])
+    assert quality.score_texts(flat, [b"anything", b""]).tolist() == [1.0, 0.0]
+
+
+def test_language_models_on_held_out_texts(spark):
+    rng = random.Random(4)
+    parts = {"aa": ["ka", "ri", "to", "mu", "sha"], "bb": ["ent", "ung", "sch", "er", "ich"], "cc": ["eau", "oi", "lé", "ment", "que"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(k, text(lang := ["aa", "bb", "cc"][k % 3], rng.randrange(1, 80)), lang, None) for k in range(600)]
+    df = spark.createDataFrame([*rows, (9000, None, "aa", None), (9001, "12 34 !?", None, None), (9002, "", None, None), (None, "ungschich", None, None)], DOCS)
+    got = {r["doc_id"]: r for r in collected(language.identify_language(df, language.fit_on(df)))}
+    assert [got[k]["lang_pred"] for k in (9000, 9001, 9002)] == ["und"] * 3
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in rows) >= 590 and got[None]["lang_pred"] == "bb"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert language.fit([]).predict(["abc"])[0] == ["und"]
+
+
+def test_kneser_ney_probabilities_sum_to_one():
+    import numpy as np
+
+    codes, places, _ = language.encode(["abab abc bca", "cab"], 3)
+    letters = np.unique(codes)
+    m = language.KneserNey(codes, places, 3, len(letters))
+    for at in (places[4], places[7]):
+        total = 0.0
+        for c in letters:
+            trial = codes.copy()
+            trial[at] = c
+            a = np.array([at])
+            total += m.probability([language.gram(trial, a, n + 1) for n in range(3)], [language.gram(trial, a - 1, n) for n in range(3)])[0]
+        assert abs(total - 1) < 1e-6
+
+
+PAGE = """<html><head><title>t</title><script>var x = "</p>";</script></head><body><header class="site-header"><div>Brand name</div></header>
+<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul></nav><div class="ad">Buy this now.</div>
+<article><h1>The   title &amp; more</h1><p>First paragraph of some length, with words enough to be one.<p><b>Second paragraph<br>goes on and on, &eacute; and so does this text.</p><p>Short.</p></article>
+<div class="comments"><h3>Comments</h3><div class="comment"><p>I liked what I have read here a lot.</p></div></div><footer>&copy; 2024 someone</footer></body></html>"""
+
+
+def test_html_blocks_and_main_text(spark):
+    cut = [b.text for b in html_labeller.blocks(PAGE)]
+    assert "The title & more" in cut and "Second paragraph goes on and on, é and so does this text." in cut and not any("var x" in t for t in cut)
+    df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (4, "w", "<p></p>"), (5, "x", "<ul><li>" * 3000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in collected(html_labeller.extract_main_text(df.withColumn("n", F.lit("mine"))))}
+    assert got[1]["text"] == "The title & more\n\nFirst paragraph of some length, with words enough to be one.\n\nSecond paragraph goes on and on, é and so does this text.\n\nShort."
+    assert got[1]["n_chars"] == len(got[1]["text"]) and [got[k]["text"] for k in (2, 3, 4, 5)] == [""] * 4
+
+
+def test_labeller_on_held_out_layouts():
+    import numpy as np
+
+    rng, net, right, total = np.random.default_rng(123), html_labeller.train(), 0, 0
+    for _ in range(80):
+        page, y = html_labeller.training_page(rng)
+        b = html_labeller.blocks(page)
+        if len(b) == len(y) and y:
+            z = html_labeller.label_blocks(net, [b])[0]
+            right, total = right + (z == np.array(y, bool)).sum(), total + len(y)
+    assert right / total > 0.97
+
+
+def test_lstm_gradient_against_differences():
+    import numpy as np
+
+    rng, net = np.random.default_rng(0), html_labeller.Labeller(1)
+    net.p = [q.astype(np.float64) for q in net.p]
+    x, mask = rng.normal(size=(4, 3, html_labeller.INPUT)), np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 0, 0]], bool)
+    y = (rng.random((4, 3)) < 0.5).astype(float)
+    _, grads = net.gradient(x, mask, y)
+    for k, q in enumerate(net.p):
+        at = tuple(0 for _ in q.shape)
+        old, h = q[at], 1e-4
+        q[at] = old + h
+        up = net.gradient(x, mask, y)[0]
+        q[at] = old - h
+        down = net.gradient(x, mask, y)[0]
+        q[at] = old
+        assert abs((up - down) / (2 * h) - grads[k][at]) < 1e-4
+
+
+CAPTURE = "record_id long, url string, ts long, kind string, status int, etag string, last_modified string, headers map<string,string>, digest string"
+
+
+def brute_revisits(rows):
+    def canonical(u):
+        u = re.sub(r"#.*$", "", u.strip())
+        m = re.match(r"(?i)https?://(?:www\.)?([^/?]*)(.*)$", u)
+        if not m:
+            return re.sub("/$", "", u) or None
+        host, rest = re.sub(":(80|443)$", "", m[1].lower()), m[2]
+        return (host + re.sub("/$", "", rest)) or None
+
+    out = []
+    for r in rows:
+        if r[3] != "revisit":
+            continue
+        url = canonical(r[1]) if r[1] else None
+        earlier = [x for x in rows if x[3] == "response" and x[4] == 200 and x[1] and url and canonical(x[1]) == url and r[2] is not None and x[2] is not None and x[2] < r[2]]
+        best = max(earlier, key=lambda x: (x[2], x[0]), default=None)
+        bare = lambda e: re.sub("^W/", "", e) if e else e
+        if best is None:
+            state = "orphan"
+        elif r[5] is not None:
+            state = "resolved" if bare(r[5]) == bare(best[5]) else "mismatch"
+        elif r[6] is not None:
+            state = "resolved" if r[6] == best[6] else "mismatch"
+        else:
+            state = "unvalidated"
+        good = state in ("resolved", "unvalidated")
+        merged = None
+        if good:
+            fresh = {k: v for k, v in (r[7] or {}).items() if k.lower() in revisits.PERMITTED}
+            merged = {k: v for k, v in (best[7] or {}).items() if k.lower() not in {f.lower() for f in fresh}} | fresh
+        out.append((r[0], url, r[2], best[0] if good else None, state, tuple(sorted(merged.items())) if good else None, best[8] if good else None))
+    return collections.Counter(out)
+
+
+def test_revisits_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(600):
+        hot = rng.random() < 0.5
+        url = rng.choice(["http://www.Hot.example/", "https://hot.example", "https://hot.example:443/#x"]) if hot else f"https://s{rng.randrange(12)}.example/p{rng.randrange(3)}"
+        kind = rng.choice(["response", "revisit", "revisit"])
+        headers = rng.choice([None, {}, {"Date": str(k), "Server": "x"}, {"date": str(k), "ETag": "e", "Content-Type": "t"}])
+        rows.append((k, rng.choice([url] * 30 + [None]), rng.choice([rng.randrange(200)] * 30 + [None]), kind, 304 if kind == "revisit" else rng.choice([200, 200, 404]), rng.choice([None, '"a"', 'W/"a"', '"b"']), rng.choice([None, "m1", "m2"]), headers, f"d{k}"))
+    rows += [rows[3], rows[7]] if rows[3][3] == "revisit" else [r for r in rows if r[3] == "revisit"][:2]
+    df = spark.createDataFrame(rows, CAPTURE).withColumns({"part": F.lit("mine"), "canonical": F.lit("mine")})
+    for n in (1, 9):
+        got = collected(revisits.resolve_revisits(df, n))
+        assert collections.Counter((g["record_id"], g["canonical"], g["ts"], g["refers_to"], g["outcome"], tuple(sorted(g["headers"].items())) if g["headers"] is not None else None, g["digest"]) for g in got) == brute_revisits(rows)
+    assert revisits.resolve_revisits(spark.createDataFrame([], CAPTURE)).count() == 0
