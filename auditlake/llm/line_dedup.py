@@ -33,11 +33,12 @@ def repeated_lines(docs: DataFrame, n: int = WINDOW, scratch: Scratch | None = N
     The first place of a window is the smallest (doc_id, text, line number); a null doc_id comes last. Rows
     that agree in doc_id and text are one place and keep the same lines. Windows are judged on the input.
     """
+    # merge joins at every size: a side that is small today is no promise for a larger corpus, and hot windows are split
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     w = scratch.keep(_windows(docs, n))
     place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("at").alias("at"))
     known = scratch.keep(w.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first"))
-    later = w.withColumn("place", place).join(known, "window").filter("place > first").select("doc_id", "key", "at").distinct()
+    later = w.withColumn("place", place).join(known.hint("merge"), "window").filter("place > first").select("doc_id", "key", "at").distinct()
     cover = later.groupBy("doc_id", "key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + (n - 1)))))).alias("gone"))
     return scratch.keep(cover)
 
@@ -47,15 +48,15 @@ def dedup_lines(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     Lines are what newlines part; null text stays null (one empty line, none removed).
     """
-    gone = repeated_lines(docs, n).withColumnsRenamed({"doc_id": "_d", "key": "_k", "gone": "_gone"})
-    keyed = docs.withColumn("_key_of_text", text_key(F.col("text")))
-    both = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_d"]) & (keyed["_key_of_text"] == gone["_k"]), "left")
-    kept = F.expr("array_join(map_values(map_filter(map_from_arrays(sequence(0L, size(_lines) - 1L), _lines), (i, x) -> not coalesce(array_contains(_gone, i), false))), '\\n')")
+    gone = repeated_lines(docs, n).withColumnsRenamed({"doc_id": "__doc", "key": "__key", "gone": "__gone"})
+    keyed = docs.withColumn("__text_key", text_key(F.col("text")))
+    both = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["__doc"]) & (keyed["__text_key"] == gone["__key"]), "left")
+    kept = F.expr("array_join(map_values(map_filter(map_from_arrays(sequence(0L, size(__lines) - 1L), __lines), (i, x) -> not coalesce(array_contains(__gone, i), false))), '\\n')")
     return (
-        both.withColumn("_lines", _lines(F.col("text").cast("string")))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+        both.withColumn("__lines", _lines(F.col("text").cast("string")))
+        .withColumn("n_lines", F.size("__lines").cast("long"))
+        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
         .select(*docs.columns, "n_lines", "n_removed")
     )
 
