@@ -7,9 +7,10 @@ holds its earliest point, so two bags agree in a register with a chance equal to
 similarity. Points are drawn only up to the time by which all registers are filled.
 
 Bags that are equal are one vertex. Bands of registers put vertices into buckets. Within a bucket no pairs
-are listed: a pivot is compared with the members that are not yet in its class, the verified links are
-closed to components, and a bucket is done when it lies in one component, or when every member outside its
-largest component has been a pivot. So each link between members of a bucket is either verified or implied.
+are listed: one pivot is compared with the members, and the verified links are closed to components. Buckets
+that then lie in one component are done. In the others the vertices outside the largest component look for
+all their partners by an exact prefix join over rare shingles first, however large the bucket is. So each
+link between members of a bucket is either verified or implied.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
+BANDS_PER_DOUBLING = 16  # of bag sizes, in the prefix join
+EPSILON = 1e-9
 GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -146,41 +149,83 @@ def _bag_items(n: int):
 
 
 def _verified(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) at or above the similarity. Only one bag a pair is shuffled: the pivot's comes last."""
+    """Pairs (u, v) at or above the similarity. Only one bag a pair is shuffled: the pivot's comes last.
+
+    Merge joins at every size: a small side today is no promise for a larger corpus, and hot pivots are split.
+    """
     left, right = items.select(F.col("v"), F.col("items").alias("_b")), items.select(F.col("v").alias("u"), F.col("items").alias("_a"))
-    both = pairs.join(left, "v").join(right, "u")
+    both = pairs.hint("merge").join(left, "v").hint("merge").join(right, "u")
     same = F.size(F.array_intersect("_a", "_b"))
     return both.filter(same >= similarity * (F.size("_a") + F.size("_b") - same)).select("u", "v")
 
 
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each bucket's pivot with its members. buckets: bucket, v, count.
+
+    The pivot is the member that shares most buckets with most others: of the copies of one text the least
+    changed, to which the rest are likeliest linked. It tends to be the same one in all of their buckets.
+    """
+    reach = buckets.groupBy("v").agg(F.sum("count").alias("reach"))
+    best = F.max(F.struct("reach", (-F.col("v")).alias("order")))
+    pivots = buckets.join(reach, "v").groupBy("bucket").agg((-best["order"]).alias("u"))
+    return buckets.join(pivots, "bucket").filter("u <> v").select("u", "v").distinct()
+
+
+def _ordered_prefixes(bags_: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """v, label, outside, n and prefix: the bag's rarest items, as many as a link can do without plus one.
+
+    Bags that overlap in o items have one in common among the n - o + 1 first items of either, whatever the
+    order, as long as it is the same for all. With the rarest first, what many bags share comes last.
+    """
+    each = scratch.keep(bags_.select("v", "label", "outside", F.size("items").alias("n"), F.explode("items").alias("item")))
+    often = scratch.keep(each.groupBy("item").agg(F.count(F.lit(1)).alias("often")))
+    sorted_ = each.join(often.hint("merge"), "item").groupBy("v", "label", "outside", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("l"))
+    short = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - EPSILON) + 1
+    return scratch.keep(sorted_.select("v", "label", "outside", F.col("n").cast("long").alias("n"), F.transform(F.slice("l", F.lit(1), short.cast("int")), lambda x: x["item"]).alias("prefix")))
+
+
+def _remaining(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of an outside vertex with any vertex of another label that can still be linked: none is missed.
+
+    The overlap that a link of sizes n and m takes is share * (n + m), so the two prefixes are shorter the larger
+    the partner is. Items are met together with a band of the partner's size, and the exact lengths decide.
+    """
+    share = F.lit(similarity / (1 + similarity))
+    band = lambda n: F.floor(F.lit(BANDS_PER_DOUBLING) * F.log2(n))
+    least, most = F.ceil(F.lit(similarity) * F.col("n") - EPSILON), F.floor(F.col("n") / F.lit(similarity) + EPSILON)
+    a = prefixes.filter("outside").select("v", "label", "n", "prefix", least.alias("least"), F.explode(F.sequence(band(least), band(most))).alias("band"))
+    smallest = F.greatest(F.col("least"), F.ceil(F.pow(F.lit(2.0), F.col("band") / F.lit(BANDS_PER_DOUBLING)) - EPSILON))
+    length = F.least(F.col("n") - F.ceil(share * (F.col("n") + smallest) - EPSILON) + 1, F.size("prefix"))
+    a = a.withColumn("length", length).filter("length > 0").select(F.col("v").alias("u"), F.col("label").alias("_label"), F.col("n").alias("_n"), "band", F.posexplode(F.slice("prefix", F.lit(1), F.col("length").cast("int"))).alias("_at", "item"))
+    b = prefixes.select("v", "label", "n", band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "item"))
+    overlap = F.ceil(share * (F.col("n") + F.col("_n")) - EPSILON)
+    both = a.join(b, ["item", "band"]).filter((F.col("u") != F.col("v")) & (F.col("label") != F.col("_label")) & (F.col("_at") <= F.col("_n") - overlap) & (F.col("at") <= F.col("n") - overlap))
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _closed(buckets: DataFrame, items: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
-    """v, component over all links that buckets (bucket, v) can show; None if there is no link."""
-    pivots = buckets.groupBy("bucket").agg(F.min("v").alias("u"))
-    members, checked, links, was, classes = buckets, None, None, None, 8
-    while True:
-        pivots = scratch.keep(pivots)
-        of = pivots.withColumnRenamed("c", "_c") if "c" in pivots.columns else pivots
-        apart = members.join(of, "bucket").filter(F.col("u") != F.col("v"))
-        if was is not None:
-            apart = apart.filter("c <> _c").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        pairs = apart.select("u", "v").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = scratch.keep(pairs)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = scratch.keep(_verified(pairs, items, similarity))
-        links = found if links is None else links.unionByName(found)
-        was = pivots.select("bucket", "u") if was is None else was.unionByName(pivots.select("bucket", "u"))
-        labels = None if links.isEmpty() else components(links, scratch)
-        members = buckets.withColumn("c", F.col("v")) if labels is None else buckets.join(labels, "v", "left").select("bucket", "v", F.coalesce("component", "v").alias("c"))
-        parts = scratch.keep(members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")))
-        unsettled = scratch.keep(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "c")).alias("top")).filter("k > 1").select("bucket", F.col("top.c").alias("top")))
-        members = scratch.keep(members.join(unsettled, "bucket"))
-        outside = members.filter("c <> top").join(was.withColumnRenamed("u", "v"), ["bucket", "v"], "left_anti")
-        pivots = outside.groupBy("bucket", F.pmod(F.xxhash64("v"), F.lit(classes)).alias("lot")).agg(F.min(F.struct(F.col("v").alias("u"), "c")).alias("p")).select("bucket", "p.u", "p.c")
-        if pivots.isEmpty():
-            return labels
-        classes *= 4
+    """v, component over all links that buckets (bucket, v, count) can show; None if there is no link.
+
+    After the stars a bucket is settled if it lies in one component. In any other, each pair of components
+    has a vertex outside the bucket's largest component, so the links of these vertices are all that can be
+    missing; they are found by an exact prefix join, whose size follows the number of such vertices.
+    """
+    stars = scratch.keep(_stars(buckets))
+    found = scratch.keep(_verified(stars, items, similarity))
+    labels = None if found.isEmpty() else components(found, scratch)
+    members = buckets.withColumn("label", F.col("v")) if labels is None else buckets.join(labels.hint("merge"), "v", "left").select("bucket", "v", F.coalesce("component", "v").alias("label"))
+    members = scratch.keep(members.select("bucket", "v", "label"))
+    parts = scratch.keep(members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")))
+    unsettled = scratch.keep(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top")).filter("parts > 1").select("bucket", F.col("top.label").alias("top")))
+    left = members.join(unsettled.hint("merge"), "bucket").groupBy("v").agg(F.min("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("outside"))
+    bags_ = items.join(scratch.keep(left).hint("merge"), "v")
+    pairs = _remaining(_ordered_prefixes(bags_, similarity, scratch), similarity)
+    pairs = scratch.keep(pairs.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti"))
+    more = scratch.keep(_verified(pairs, items, similarity))
+    if more.isEmpty():
+        return labels
+    # labels stand for the links before: a vertex is linked with its component
+    return components(more if labels is None else more.unionByName(labels.select(F.col("component").alias("u"), "v")), scratch)
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -201,10 +246,10 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMIL
     vertices = sig.filter("n > 0").groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"))
     vertices = scratch.keep(vertices.withColumn("v", F.monotonically_increasing_id()))
     each = vertices.select("v", F.explode("bands").alias("bucket"))
-    shared = scratch.keep(each.groupBy("bucket").count().filter("count > 1").select("bucket"))
-    buckets = scratch.keep(each.join(shared, "bucket"))
+    shared = scratch.keep(each.groupBy("bucket").count().filter("count > 1"))
+    buckets = scratch.keep(each.join(shared.hint("merge"), "bucket"))
     needed = scratch.keep(buckets.select("v").distinct().join(vertices, "v").select("v", F.col("first.doc_id").alias("_d"), F.col("first.key").alias("_k")))
-    bag = texts.join(needed, texts["doc_id"].eqNullSafe(needed["_d"]) & (texts["key"] == needed["_k"])).select("v", "text")
+    bag = texts.join(needed.hint("merge"), texts["doc_id"].eqNullSafe(needed["_d"]) & (texts["key"] == needed["_k"])).select("v", "text")
     items = scratch.keep(bag.mapInArrow(_bag_items(n), "v long, items array<bigint>").dropDuplicates(["v"]))
     labels = _closed(buckets, items, similarity, scratch)
     if labels is None:
@@ -220,13 +265,13 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMIL
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of repeated rows, one."""
-    stay = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    stay = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"))
     stay = Scratch(docs.sparkSession, "near").keep(stay)
-    out = docs.withColumn("_key_of_text", text_key(F.col("text")))
-    out = out.join(stay, out["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (out["_key_of_text"] == stay["_key"]), "left_semi")
-    if not stay.groupBy("_id", "_key").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_key_of_text"])
-    return out.drop("_key_of_text")
+    out = docs.withColumn("__text_key", text_key(F.col("text")))
+    out = out.join(stay, out["doc_id"].cast("long").eqNullSafe(stay["__doc"]) & (out["__text_key"] == stay["__key"]), "left_semi")
+    if not stay.groupBy("__doc", "__key").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "__text_key"])
+    return out.drop("__text_key")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
