@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFram
     return both.filter(same >= similarity * (F.size("_a") + F.size("_b") - same)).select("u", "v")
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
+def _stars(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of each bucket's pivot with its members. buckets: bucket, v, count.
 
     The pivot is the member that shares most buckets with most others: of the copies of one text the least
@@ -167,8 +167,8 @@ def _stars(buckets: DataFrame) -> DataFrame:
     """
     reach = buckets.groupBy("v").agg(F.sum("count").alias("reach"))
     best = F.max(F.struct("reach", (-F.col("v")).alias("order")))
-    pivots = buckets.join(reach, "v").groupBy("bucket").agg((-best["order"]).alias("u"))
-    return buckets.join(pivots, "bucket").filter("u <> v").select("u", "v").distinct()
+    pivots = scratch.keep(buckets.join(reach, "v").groupBy("bucket").agg((-best["order"]).alias("u")))
+    return buckets.join(pivots.hint("merge"), "bucket").filter("u <> v").select("u", "v").distinct()
 
 
 def _ordered_prefixes(bags_: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -210,7 +210,7 @@ def _closed(buckets: DataFrame, items: DataFrame, similarity: float, scratch: Sc
     has a vertex outside the bucket's largest component, so the links of these vertices are all that can be
     missing; they are found by an exact prefix join, whose size follows the number of such vertices.
     """
-    stars = scratch.keep(_stars(buckets))
+    stars = scratch.keep(_stars(buckets, scratch))
     found = scratch.keep(_verified(stars, items, similarity))
     labels = None if found.isEmpty() else components(found, scratch)
     members = buckets.withColumn("label", F.col("v")) if labels is None else buckets.join(labels.hint("merge"), "v", "left").select("bucket", "v", F.coalesce("component", "v").alias("label"))
