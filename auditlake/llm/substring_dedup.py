@@ -182,8 +182,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     verdicts = index.join(partial, ["a", "b"], "left").filter("bits is not null or first.doc_id < last").select("block", "a", "b", F.col("first.doc_id").alias("lo"), F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     verdicts = scratch.keep(verdicts)
     bits = F.when(F.col("lo") < F.col("doc_id"), F.expr("shiftleft(1L, cast(n as int)) - 1L")).otherwise(F.col("bits"))
-    matches = phrases.join(verdicts, ["block", "a", "b"]).withColumn("bits", bits).filter("bits <> 0")
-    matches = matches.distinct().groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.struct(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits")).alias("matches"))
+    matches = phrases.join(verdicts, ["block", "a", "b"]).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "at", bits.alias("bits")).filter("bits <> 0")
+    # without block, a and b the grouping has an exchange of its own, and the join before it can be split where a phrase is hot
+    matches = matches.groupBy("_d", "_k").agg(F.collect_set(F.struct("at", "bits")).alias("m")).select("_d", "_k", F.struct(F.col("m.at").alias("at"), F.col("m.bits").alias("bits")).alias("matches"))
     matches = scratch.keep(matches)
     scratch.drop(phrases, index, shared, asked, windows, earlier, partial, verdicts)
     out = rows.join(matches, (rows["doc_id"] == matches["_d"]) & (rows["key"] == matches["_k"]), "left").select("doc_id", "text", "matches")
