@@ -88,7 +88,7 @@ def valid_hreflang(code: Column, country_codes: list[str] | None = None) -> Colu
 
 
 def language_scores(text: Column) -> Column:
-    """Struct of words (their number) and scores (array of lang and score, best first, ties in the list's order).
+    """The text's words, those among them that any language lists, and the score of a list over the column `kept`.
 
     Frequencies are never exploded: per stopword the words equal to it are counted, five at most.
     """
