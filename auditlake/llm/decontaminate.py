@@ -112,7 +112,7 @@ def _scan(shared, window: int):
                         continue
                     own = np.flatnonzero(np.diff(np.concatenate([[False], hit[w.upto[t] : w.upto[t + 1]], [False]]).astype(np.int8)))
                     runs.append(own.tolist())
-                    items.append(sorted(block.ids[i] for i in seen[t]))
+                    items.append(sorted({block.ids[i] for i in seen[t]}))
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("key"), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 names=["doc_id", "key", "n_words", "runs", "items"],
