@@ -247,7 +247,8 @@ def _parse(names: list[str], schema: pa.Schema):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Parsed pages: the columns of `pages` but for html, what the document says, and text measures.
 
-    Bodies over the limit are for the caller to set apart (see operators.fetch). Null html parses as empty.
+    Every row is parsed whole. MAX_BODY_BYTES is a rule of the fetch, not of the parser: plans.crawl and streaming.refresh
+    apply it before they come here. Null html parses as empty.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -62,7 +62,7 @@ class Audit:
         """Parsed rows of the pages that gave a document, with the hreflangs as merged by the crawl."""
         from auditlake.functions.html import extract_pages
 
-        own = self.rel["pages"].filter("status > 0").select("page_idx", "url", "url_key", "requested_url")
+        own = self.rel["pages"].filter("error is null").select("page_idx", "url", "url_key", "requested_url")
         body = lookup(own.select("page_idx", F.col("url").alias("page_url"), "url_key", "url"), self.responses).withColumn("html", F.decode("body", "utf-8"))
         out = extract_pages(body.select("page_idx", F.col("page_url").alias("url"), "url_key", "html")).drop("hreflangs")
         h = self.rel["hreflangs"].groupBy("page_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lang", "href", "source"))), lambda x: F.struct(x["lang"].alias("lang"), x["href"].alias("href"), x["source"].alias("source"))).alias("hreflangs"))
@@ -73,8 +73,9 @@ class Audit:
         pages = self.rel["pages"]
         hashes = self.parsed.select("page_idx", "content_hash")
         full = pages.join(hashes, "page_idx", "left")
+        fetched = pages.withColumn("status", F.when(F.col("error").isNull(), F.col("status")).otherwise(0))  # a body over the limit is a failed fetch, whatever its status
         parts = [
-            rules.page_issues(self.parsed), rules.fetch_issues(pages), crosspage.duplicate_issues(full), links.link_issues(pages, self.effective, self.checks), crosspage.canonical_issues(pages),
+            rules.page_issues(self.parsed), rules.fetch_issues(fetched), crosspage.duplicate_issues(full), links.link_issues(pages, self.effective, self.checks), crosspage.canonical_issues(pages),
             hreflang.target_issues(pages, self.rel["hreflangs"]), crosspage.sitemap_issues(self.targets), crosspage.orphan_issues(self.targets, self.metrics), hreflang.relation_issues(pages, self.rel["hreflangs"]),
         ]
         out = reduce(DataFrame.unionByName, parts).dropDuplicates(["page_idx", "code", "message"])

@@ -31,8 +31,8 @@ def _pages(spark, sf):
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed rows of `pages`; html is read and parsed once, and the text columns are pruned where nobody asks for them."""
-    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("page_idx"), "url", "html").filter(F.octet_length("html") <= 2_500_000)
+    """Parsed rows of all `pages`, whatever their length; html is read and parsed once, and the text columns are pruned where nobody asks for them."""
+    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("page_idx"), "url", "html")
     return extract_pages(p).withColumn("url_key", urls.url_key(F.col("url")))
 
 

@@ -228,3 +228,14 @@ def test_report_files(spark, tmp_path):
     assert reports.read_json(spark, f"{tmp_path}/json").filter("record = 'page'").count() == 2
     name = spark.range(1).select(reports.file_name(F.lit("https://E.example:8080/x"), F.lit("2024-01-02 03:04:05").cast("timestamp"), "csv").alias("n")).head().n
     assert name == "seo-audit-e.example-20240102-030405.csv"
+
+
+def test_page_queries_read_pages_of_any_length(spark, tmp_path):
+    from auditlake.plans import catalog
+
+    page = lambda title, text: f'<html lang="en"><head><title>{title}</title></head><body><main><h1>h</h1><p>{text}</p></main></body></html>'
+    rows = [(0, "https://1.1.1.1" + "/", page("A short page of good length", "text")), (1, "https://1.1.1.1" + "/long", page("x", "word " * 600_000))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    q = {k: catalog.queries()[k](spark, str(tmp_path)).collect() for k in ("page_title_rules", "page_lang_tally", "page_facts", "page_issue_counts")}
+    assert [(r.page_idx, r.code) for r in q["page_title_rules"]] == [(1, "title_short")] and [(r.lang, r.pages) for r in q["page_lang_tally"]] == [("en", 2)]
+    assert {r.page_idx: r.word_count for r in q["page_facts"]} == {0: 2, 1: 600_001} and {r.code: r.pages for r in q["page_issue_counts"]}["canonical_missing"] == 2
