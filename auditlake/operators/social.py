@@ -53,10 +53,15 @@ def dimensions(head: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([image_size(h) for h in head], columns=["width", "height"]).astype("Int32")
 
 
+def discovered(pages: DataFrame) -> DataFrame:
+    """url, at: the distinct og and twitter images, and the place of the first mention."""
+    each = pages.select("page_idx", F.posexplode(F.array("og_image", "twitter_image")).alias("k", "url")).filter("url is not null")
+    return each.groupBy("url").agg(F.min(F.struct("page_idx", "k")).alias("at"))
+
+
 def wanted(pages: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
     """url: distinct og and twitter images in page order, `most` of them (the report's limit)."""
-    each = pages.select("page_idx", F.posexplode(F.array("og_image", "twitter_image")).alias("k", "url")).filter("url is not null")
-    return each.groupBy("url").agg(F.min(F.struct("page_idx", "k")).alias("at")).orderBy("at").limit(most).select("url")
+    return discovered(pages).orderBy("at").limit(most).select("url")
 
 
 def image_issues(pages: DataFrame, images: DataFrame) -> DataFrame:

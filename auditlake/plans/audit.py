@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
 from auditlake.functions import urls
-from auditlake.operators import crosspage, hreflang, links, origin, patterns, rules
+from auditlake.functions.html import MAX_BODY_BYTES
+from auditlake.operators import crosspage, hreflang, links, origin, patterns, rules, social
 from auditlake.plans import crawl as cr
 from auditlake.sources.responses import lookup
 
@@ -68,6 +69,14 @@ class Audit:
         h = self.rel["hreflangs"].groupBy("page_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lang", "href", "source"))), lambda x: F.struct(x["lang"].alias("lang"), x["href"].alias("href"), x["source"].alias("source"))).alias("hreflangs"))
         return out.join(h, "page_idx", "left").withColumn("hreflangs", F.coalesce("hreflangs", F.array().cast("array<struct<lang:string,href:string,source:string>>")))
 
+    @cached_property
+    def images(self) -> DataFrame:
+        """What the social images answer, redirects not followed, with the pictures' size: url, status, content_type, width, height."""
+        reached = F.col("error").isNull() & urls.public_target("url")
+        got = lookup(social.wanted(self.parsed, social.MOST_IMAGES), self.responses).withColumns({"status": F.when(reached, F.col("status")).otherwise(0), "content_type": F.when(reached, F.col("content_type"))})
+        got = got.withColumn("size", F.when(F.lower("content_type").startswith("image/") & (F.octet_length("body") <= MAX_BODY_BYTES), social.dimensions("body")))
+        return got.select("url", "status", "content_type", "size.width", "size.height")
+
     @cached_property
     def _issues(self) -> DataFrame:
         pages = self.rel["pages"]
@@ -75,7 +84,7 @@ class Audit:
         full = pages.join(hashes, "page_idx", "left")
         fetched = pages.withColumn("status", F.when(F.col("error").isNull(), F.col("status")).otherwise(0))  # a body over the limit is a failed fetch, whatever its status
         parts = [
-            rules.page_issues(self.parsed), rules.fetch_issues(fetched), crosspage.duplicate_issues(full), links.link_issues(pages, self.effective, self.checks), crosspage.canonical_issues(pages),
+            rules.page_issues(self.parsed), rules.fetch_issues(fetched), social.image_issues(self.parsed, self.images), crosspage.duplicate_issues(full), links.link_issues(pages, self.effective, self.checks), crosspage.canonical_issues(pages),
             hreflang.target_issues(pages, self.rel["hreflangs"]), crosspage.sitemap_issues(self.targets), crosspage.orphan_issues(self.targets, self.metrics), hreflang.relation_issues(pages, self.rel["hreflangs"]),
         ]
         out = reduce(DataFrame.unionByName, parts).dropDuplicates(["page_idx", "code", "message"])
@@ -101,17 +110,21 @@ class Audit:
         return crosspage.coverage(self.targets)
 
     def site_issues(self) -> DataFrame:
-        """code, severity of findings about the site as a whole."""
+        """code, severity, message of findings about the site as a whole; a message where a limit cut a check short."""
         out = self.spark.createDataFrame(self.crawl.site_issues, "code string, severity string")
+        limited: list[tuple[str, str, str]] = []
         cov = self.coverage()
         out = out.unionByName(cov.filter("sitemap_urls > 0 and not complete").select(F.lit("crawl_coverage_partial").alias("code"), F.lit("info").alias("severity")))
         out = out.unionByName(cov.filter("redirected > 0").select(F.lit("sitemap_redirects").alias("code"), F.lit("warning").alias("severity")))
         out = out.unionByName(origin.variant_issues(self.origins).select("code", "severity"))
         if self.preferred["origin"] != self.crawl.origin:
             out = out.unionByName(self.spark.createDataFrame([("canonical_origin_conflict", "warning")], "code string, severity string"))
+        n = social.discovered(self.parsed).count()
+        if n > social.MOST_IMAGES:
+            limited.append(("social_image_check_limited", "info", f"{social.MOST_IMAGES} of {n} social images were checked."))
         if self.environment == "staging":
             out = out.unionByName(self.protection().filter("unprotected > 0").select(F.lit("staging_unprotected_pages").alias("code"), F.lit("warning").alias("severity")))
-        return out
+        return out.unionByName(self.spark.createDataFrame(limited, "code string, severity string, message string"), allowMissingColumns=True)
 
     def protection(self) -> DataFrame:
         return patterns.staging_protection(self.rel["pages"])
