@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from auditlake.functions import urls
 from auditlake.operators.rules import LINKS, found
 
+MOST_TARGETS = 50
+
 
 def page_index(pages: DataFrame, *columns: str) -> DataFrame:
     """One page per key; of several, the last one."""
@@ -55,16 +57,20 @@ def mixed_scheme(links: DataFrame, pages: DataFrame) -> DataFrame:
     return both.groupBy("page_idx").agg(F.count_distinct("href").alias("mixed"))
 
 
-def uncrawled(links: DataFrame, pages: DataFrame, redirects: DataFrame, origin: str, limit: int = 50) -> DataFrame:
+def candidates(links: DataFrame, pages: DataFrame, redirects: DataFrame, origin: str) -> DataFrame:
+    """url_key, at, href of all same-origin targets that are neither pages nor redirects: at is the place of the first, href the spelling of the last."""
+    l = links.filter(urls.origin(F.col("href")) == origin).select(F.col("dst").alias("url_key"), "href", "page_idx", "pos")  # noqa: E741
+    l = l.join(pages.select("url_key"), "url_key", "left_anti").join(redirects.select(F.col("from_key").alias("url_key")), "url_key", "left_anti")  # noqa: E741
+    at = F.struct("page_idx", "pos")
+    return l.groupBy("url_key").agg(F.min(at).alias("at"), F.max_by("href", at).alias("href"))
+
+
+def uncrawled(links: DataFrame, pages: DataFrame, redirects: DataFrame, origin: str, limit: int = MOST_TARGETS) -> DataFrame:
     """pos, url_key, href: same-origin targets that are neither pages nor redirects; place of the first, spelling of the last.
 
     The limit is the report's: a top-k by position, without a global sort of all rows.
     """
-    l = links.filter(urls.origin(F.col("href")) == origin).select(F.col("dst").alias("url_key"), "href", "page_idx", "pos")  # noqa: E741
-    l = l.join(pages.select("url_key"), "url_key", "left_anti").join(redirects.select(F.col("from_key").alias("url_key")), "url_key", "left_anti")  # noqa: E741
-    at = F.struct("page_idx", "pos")
-    once = l.groupBy("url_key").agg(F.min(at).alias("at"), F.max_by("href", at).alias("href"))
-    return once.orderBy("at").limit(limit).select(F.col("at.page_idx").alias("page_idx"), F.col("at.pos").alias("pos"), "url_key", "href")
+    return candidates(links, pages, redirects, origin).orderBy("at").limit(limit).select(F.col("at.page_idx").alias("page_idx"), F.col("at.pos").alias("pos"), "url_key", "href")
 
 
 def link_issues(pages: DataFrame, effective_links: DataFrame, checks: DataFrame) -> DataFrame:

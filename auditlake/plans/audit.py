@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import text as tx
 from auditlake.functions import urls
 from auditlake.functions.html import MAX_BODY_BYTES
+from auditlake.functions.urls import normalize
 from auditlake.operators import crosspage, hreflang, links, origin, patterns, rules, social
 from auditlake.plans import crawl as cr
 from auditlake.sources.responses import lookup
@@ -25,21 +26,39 @@ class Audit:
         self.crawl = cr.crawl(spark, responses, start_url, max_pages, progress)
         self.rel = cr.relations(spark, self.crawl)
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Link targets beyond the crawl."""
+        return links.candidates(self.rel["links"], self.rel["pages"], self.rel["redirects"], self.crawl.origin)
+
+    @cached_property
+    def followed(self) -> dict[str, dict]:
+        """The first of the candidates, by URL: the last response, without its body, final_url and chain."""
+        urls = [r.href for r in self.candidates.orderBy("at").limit(links.MOST_TARGETS).select("href").collect()]  # fifty at most
+        return cr.Responses(self.spark, self.responses.withColumn("body", F.lit(None).cast("binary"))).follow(urls)
+
+    @cached_property
+    def redirects(self) -> DataFrame:
+        """Redirects of the crawl and those that the checks of link targets met; of both, the latter."""
+        met = {normalize(h["from"]): (normalize(r["final_url"]), len(r["chain"])) for r in self.followed.values() if r["status"] for h in r["chain"]}
+        new = self.spark.createDataFrame([(k, final, final, n) for k, (final, n) in met.items()], "from_key string, final_key string, final_url string, hops int")
+        return self.rel["redirects"].join(new, "from_key", "left_anti").unionByName(new)
+
     @cached_property
     def effective(self) -> DataFrame:
         same = self.rel["links"].filter(urls.origin(F.col("href")) == self.crawl.origin)
         mixed = self.rel["links"].filter((urls.host(F.col("href")) == urls.host(F.lit(self.crawl.origin))) & (urls.origin(F.col("href")) != self.crawl.origin))
-        return links.effective(same.unionByName(mixed), self.rel["redirects"])
+        return links.effective(same.unionByName(mixed), self.redirects)
 
     @cached_property
     def checks(self) -> DataFrame:
-        """What link targets beyond the crawl answer."""
-        wanted = links.uncrawled(self.rel["links"], self.rel["pages"], self.rel["redirects"], self.crawl.origin)
-        return lookup(wanted.select(F.col("href").alias("url"), "url_key"), self.responses).select("url", "url_key", "status")
+        """What link targets beyond the crawl answer, redirects followed: url, url_key it ends at, status (0 where it cannot be reached)."""
+        ends = {normalize(r["final_url"] if r["status"] else u): (u, r["status"]) for u, r in self.followed.items()}
+        return self.spark.createDataFrame([(u, k, s) for k, (u, s) in ends.items()], "url string, url_key string, status int")
 
     @cached_property
     def targets(self) -> DataFrame:
-        return crosspage.sitemap_targets(self.rel["sitemap"], self.rel["redirects"], self.rel["pages"])
+        return crosspage.sitemap_targets(self.rel["sitemap"], self.redirects, self.rel["pages"])
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -119,6 +138,8 @@ class Audit:
         out = out.unionByName(origin.variant_issues(self.origins).select("code", "severity"))
         if self.preferred["origin"] != self.crawl.origin:
             out = out.unionByName(self.spark.createDataFrame([("canonical_origin_conflict", "warning")], "code string, severity string"))
+        if (n := self.candidates.count()) > links.MOST_TARGETS:
+            limited.append(("link_target_check_limited", "info", f"{links.MOST_TARGETS} of {n} link targets beyond the crawl were checked."))
         n = social.discovered(self.parsed).count()
         if n > social.MOST_IMAGES:
             limited.append(("social_image_check_limited", "info", f"{social.MOST_IMAGES} of {n} social images were checked."))
@@ -144,7 +165,7 @@ class Audit:
             F.count_if(F.col("code") == "orphan_candidate").alias("orphans"), F.count_if("expected").alias("expected_findings"),
             F.count_distinct(F.when(F.col("code").startswith("content_duplicate"), F.col("message"))).alias("duplicate_content"),
         )
-        r = self.rel["redirects"].agg(F.count(F.lit(1)).alias("redirects"), F.count_if(F.col("hops") > 1).alias("redirect_chains"))
+        r = self.redirects.agg(F.count(F.lit(1)).alias("redirects"), F.count_if(F.col("hops") > 1).alias("redirect_chains"))
         e = self.effective.agg(F.count_if(F.col("hops").isNotNull()).alias("links_to_redirects"))
         parts = [patterns.severity_counts(i), by_state, n, r, e, self.coverage()]
         return reduce(DataFrame.crossJoin, parts)  # every part is one row
