@@ -34,7 +34,8 @@ class Scratch:
 
     Writing cuts the lineage: a lost executor costs the files' readers nothing, and what is read back has
     known sizes, so that a join picks its strategy by them and both its sides come from plain exchanges,
-    which adaptive execution can split where a key is hot.
+    which adaptive execution can split where a key is hot. Tables that nobody drops, such as those a result is
+    still read from, are deleted when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -42,7 +43,15 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
+    def _path(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def keep(self, df: DataFrame) -> DataFrame:
+        if not self.count:
+            fs, p = self._path(self.root)
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
         self.count += 1
         path = f"{self.root}/t{self.count}"
         df.write.parquet(path)
@@ -52,10 +61,9 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, p = self._path(t._scratch_path)
+            fs.delete(p, True)
 
 
 def text_key(text: Column) -> Column:

@@ -1,18 +1,24 @@
-"""Substring dedup: documents are parsed relative to an index of all earlier text.
-
-Lempel-Ziv parsing relative to a reference finds, from left to right, the longest factor that the reference
-holds. Here the reference of a document is every document with a smaller id, and only factors of at least 50
-words count. To spread that over a cluster, texts are cut at anchors chosen by content: of the 16-word grams
-in a 50-word window the one with the smallest hash. Equal windows choose equal anchors, wherever they stand.
-The windows that share an anchor form one phrase, 50 to 92 words, and the anchor's hash names the reference
-block whose index can hold a match for it, so each phrase is looked up in that one block and every block
-that could match is asked.
-
-1. Phrases are indexed with their first document. A phrase that an earlier document has is matched whole.
-2. Factors begin and end inside phrases. Phrases with the anchor of another, different phrase are such
-   boundaries; their windows, once for each distinct phrase, are indexed and looked up one by one.
-3. Per document, the parse extends a factor over matched windows as long as it can and starts the next one
-   at the first matched window after it; the factors' words are the duplicate spans.
+"""Substring dedup: Relative Lempel-Ziv parsing of every document against the corpus's first occurrences.
+
+The reference is made of blocks, one a document: the windows of 50 words that occur there for the first time
+(smallest doc_id, then text key, then position). So each window of the corpus lies in the reference once, at
+one (block, offset), and the longest factor of 50 words or more that begins with a given window is unique: it
+runs on as long as the next window lies in the same block at the next offset. The parse of a document goes
+from left to right; at the first window that a block of a smaller doc_id holds it takes that longest factor.
+At the factor's end the windows astride the boundary, which begin inside the factor and end behind it, are
+looked up one by one like all that follow, so a factor of another block may overlap the one before. The words
+of the factors are the duplicate spans.
+
+The index of the reference is spread over the cluster by content. Texts are cut at anchors: of the 16-word
+grams in a window the one with the smallest hash. Equal windows choose equal anchors, wherever they stand; the
+windows that share an anchor form one phrase of 50 to 84 words, one in about 18 words.
+
+1. Phrases are indexed once each with the place of the first. A phrase whose anchor no other phrase has is in
+   the reference as a whole, so one lookup extends a factor over all its windows.
+2. Where different phrases share an anchor their windows, once for each distinct phrase, are indexed with
+   their first places and looked up one by one.
+3. What a phrase finds is one row for each diagonal: block, offset of the phrase's start in it, and the
+   windows on it as bits. A document's rows meet in its parse.
 
 Hashes of windows have 128 bits. All groups are reduced with partial sums, never gathered; looked-up rows
 are joined with tables that hold one row per key, read back from files, so that adaptive execution splits
@@ -83,7 +89,7 @@ def _cut_phrases(window: int, anchor: int):
 
 
 def _windows_of(window: int):
-    """Digests of the windows of each text's listed phrases: at is the first, n how many."""
+    """Digests and places of the windows of each text's listed phrases: at is the first, n how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,101 +111,123 @@ def _windows_of(window: int):
                 digests = [signed(lane.runs(1, x, start, start + window)) for lane, x in zip(LANES, sums, strict=True)]
                 rows = np.repeat(np.array(rows, np.int64), n)
                 yield pa.record_batch(
-                    [b.column("doc_id").take(pa.array(rows)), pa.array(np.repeat(np.array(pa_, np.int64), n)), pa.array(np.repeat(np.array(pb, np.int64), n)), pa.array(offset), *map(pa.array, digests)],
-                    names=["doc_id", "a", "b", "offset", "wa", "wb"],
+                    [b.column("doc_id").take(pa.array(rows)), b.column("key").take(pa.array(rows)), pa.array(start - w.upto[rows - s.first]), pa.array(np.repeat(np.array(pa_, np.int64), n)), pa.array(np.repeat(np.array(pb, np.int64), n)), pa.array(offset), *map(pa.array, digests)],
+                    names=["doc_id", "key", "at", "a", "b", "offset", "wa", "wb"],
                 )
 
     return run
 
 
-def _parse(matched: np.ndarray, window: int) -> list[int]:
-    """Duplicate spans of the greedy parse over the sorted first words of matched windows: start, end, start, end, ...
+def _lookups(found: dict[str, list[int]]) -> tuple[np.ndarray, ...]:
+    """Of a text's windows that an earlier block holds, by position: position, block, the block's key, offset."""
+    bits, at = np.array(found["bits"], np.int64), np.array(found["at"], np.int64)
+    row, k = np.nonzero((bits[:, None] >> np.arange(62)) & 1)
+    pos, block, key, offset = at[row] + k, np.array(found["block"], np.int64)[row], np.array(found["block_key"], np.int64)[row], np.array(found["shift"], np.int64)[row] + k
+    order = np.argsort(pos, kind="stable")
+    return pos[order], block[order], key[order], offset[order]
 
-    A factor takes in the next matched window as long as that begins inside it or right behind it, so that
-    windows astride a boundary of two factors join them to one span.
+
+def _parse(pos: np.ndarray, block: np.ndarray, key: np.ndarray, offset: np.ndarray, window: int) -> np.ndarray:
+    """Factors start, length, block, offset of the greedy parse over a text's lookups.
+
+    A factor begins at the first window behind the last one's windows and takes in the next window as long as
+    that is the next one of both text and block. All windows are looked up, those astride a factor's end too.
     """
-    if not len(matched):
-        return []
-    breaks = np.flatnonzero(np.diff(matched) > window)
-    start, end = matched[np.append(0, breaks + 1)], matched[np.append(breaks, len(matched) - 1)] + window
-    return np.stack([start, end], 1).ravel().tolist()
+    ends = np.flatnonzero((np.diff(pos) != 1) | (np.diff(offset) != 1) | (np.diff(block) != 0) | (np.diff(key) != 0))
+    first, last = np.append(0, ends + 1), np.append(ends, len(pos) - 1)
+    return np.stack([pos[first], last - first + window, block[first], offset[first]], 1)
 
 
-def _matched(at: list[int], bits: list[int]) -> np.ndarray:
-    """First words of the windows that a phrase's bits mark, from the phrase's own first word on."""
-    row, k = np.nonzero((np.array(bits, np.int64)[:, None] >> np.arange(62)) & 1)
-    return np.unique(np.array(at, np.int64)[row] + k)
+def _spans(factors: np.ndarray) -> list[int]:
+    """Words that the factors cover, as start, end, start, end, ...; factors that touch or overlap are one span."""
+    start, end = factors[:, 0], np.maximum.accumulate(factors[:, 0] + factors[:, 1])
+    new = np.flatnonzero(start[1:] > end[:-1])
+    return np.stack([start[np.append(0, new + 1)], end[np.append(new, len(end) - 1)]], 1).ravel().tolist()
 
 
-def _kept(words: list[bytes], factors: list[int]) -> list[bytes]:
+def _kept(words: list[bytes], spans: list[int]) -> list[bytes]:
     gone = np.zeros(len(words), bool)
-    for start, end in zip(factors[::2], factors[1::2], strict=True):
+    for start, end in zip(spans[::2], spans[1::2], strict=True):
         gone[start:end] = True
     return [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
+_DIAGONAL = "struct<block: bigint, block_key: bigint, shift: bigint, bits: bigint>"
+_FACTOR = "struct<start: bigint, length: bigint, block: bigint, offset: bigint>"
+
+
 def _remove(window: int):
+    names = ("start", "length", "block", "offset")
+    factor = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, matches = b.column("text").cast(pa.binary()).to_pylist(), b.column("matches").to_pylist()
-            n_words, spans, kept = [], [], []
-            for text, match in zip(texts, matches, strict=True):
+            texts, found = b.column("text").cast(pa.binary()).to_pylist(), b.column("found").to_pylist()
+            n_words, factors, spans, kept = [], [], [], []
+            for text, own in zip(texts, found, strict=True):
                 words = (text or b"").split()  # the white space of bytes.split() is \x20 and \x09-\x0D
-                factors = _parse(_matched(match["at"], match["bits"]), window) if match else []
+                f = _parse(*_lookups(own), window) if own else np.zeros((0, 4), np.int64)
                 n_words.append(len(words))
-                spans.append(factors)
-                kept.append(b" ".join(_kept(words, factors) if factors else words))
-            yield pa.record_batch([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "factors", "kept_text"])
+                factors.append([dict(zip(names, row, strict=True)) for row in f.tolist()])
+                spans.append(_spans(f) if own else [])
+                kept.append(b" ".join(_kept(words, spans[-1]) if own else words))
+            yield pa.record_batch(
+                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(factors, factor), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["doc_id", "n_words", "factors", "spans", "kept_text"],
+            )
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """One row per input row: doc_id, n_words, factors (word positions start, end, ...), kept_text.
-
-    A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id,
-    whatever becomes of that one. Words are [^\\x20\\x09-\\x0D]+; the kept ones are joined by one space. Null
-    and short texts keep all they have. Rows that share a doc_id do not count as earlier than each other. A
-    null doc_id is larger than any other, and nothing is removed on account of its text. Empty in, empty out.
+    """One row per input row: doc_id, n_words, factors, spans (word positions start, end, ...), kept_text.
+
+    A factor is (start, length, block, offset) in words: `length` words from `start` on are those of document
+    `block` from `offset` on. A word goes if a window of `window` words that covers it also starts in a
+    document with a smaller doc_id, whatever becomes of that one. Words are [^\\x20\\x09-\\x0D]+; the kept ones
+    are joined by one space. Null and short texts keep all they have. Rows that share a doc_id do not count as
+    earlier than each other. A null doc_id counts as the largest (2^63 - 1), so nothing is removed on account
+    of its text. Empty in, empty out.
     """
     if not anchor < window or window - anchor + 1 > 62:
         raise ValueError("the anchor is shorter than the window, by 61 words at most")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    phrases = scratch.keep(rows.mapInArrow(_cut_phrases(window, anchor), "doc_id long, key long, at int, n short, block long, a long, b long"))
+    given = F.col("doc_id").cast("long")
+    rows = docs.select(given.alias("given"), F.coalesce(given, F.lit((1 << 63) - 1)).alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    phrases = scratch.keep(rows.select("doc_id", "key", "text").mapInArrow(_cut_phrases(window, anchor), "doc_id long, key long, at int, n short, block long, a long, b long"))
     place = F.struct("doc_id", "key", "at")
     index = scratch.keep(phrases.groupBy("block", "a", "b").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.first("n").alias("n")))
     shared = scratch.keep(index.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("first.doc_id").alias("lo"), F.max("last").alias("hi")).filter("k > 1 and lo < hi").select("block"))
     asked = index.join(shared, "block", "left_semi").groupBy(F.col("first.doc_id").alias("_d"), F.col("first.key").alias("_k")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "n", "a", "b")).alias("phrases"))
     asked = scratch.keep(asked)
-    edges = rows.join(asked, (rows["doc_id"] == asked["_d"]) & (rows["key"] == asked["_k"])).select("doc_id", "text", "phrases")
-    windows = scratch.keep(edges.mapInArrow(_windows_of(window), "doc_id long, a long, b long, offset long, wa long, wb long"))
-    earlier = scratch.keep(windows.groupBy("wa", "wb").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("wa", "wb", "lo"))
-    partial = windows.join(earlier, ["wa", "wb"]).filter("lo < doc_id").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, cast(offset as int))")).alias("bits"))
-    partial = scratch.keep(partial)
-    verdicts = index.join(partial, ["a", "b"], "left").filter("bits is not null or first.doc_id < last").select("block", "a", "b", F.col("first.doc_id").alias("lo"), F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    verdicts = scratch.keep(verdicts)
-    bits = F.when(F.col("lo") < F.col("doc_id"), F.expr("shiftleft(1L, cast(n as int)) - 1L")).otherwise(F.col("bits"))
-    matches = phrases.join(verdicts, ["block", "a", "b"]).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "at", bits.alias("bits")).filter("bits <> 0")
-    # without block, a and b the grouping has an exchange of its own, and the join before it can be split where a phrase is hot
-    matches = matches.groupBy("_d", "_k").agg(F.collect_set(F.struct("at", "bits")).alias("m")).select("_d", "_k", F.struct(F.col("m.at").alias("at"), F.col("m.bits").alias("bits")).alias("matches"))
-    matches = scratch.keep(matches)
-    scratch.drop(phrases, index, shared, asked, windows, earlier, partial, verdicts)
-    out = rows.join(matches, (rows["doc_id"] == matches["_d"]) & (rows["key"] == matches["_k"]), "left").select("doc_id", "text", "matches")
-    out = out.mapInArrow(_remove(window), "doc_id long, n_words long, factors array<bigint>, kept_text string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < last, F.col("doc_id")))
-
-
-def n_removed(factors):
-    """Words in the factors, which do not overlap."""
-    return F.aggregate(F.transform(factors, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    edges = rows.join(asked, (rows["doc_id"] == asked["_d"]) & (rows["key"] == asked["_k"])).select("doc_id", "key", "text", "phrases")
+    windows = scratch.keep(edges.mapInArrow(_windows_of(window), "doc_id long, key long, at long, a long, b long, offset long, wa long, wb long"))
+    first = scratch.keep(windows.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.max(place).alias("end")).filter("first < end").select("wa", "wb", "first"))
+    # windows whose first place is in another phrase, one row for each phrase and diagonal
+    away = windows.join(first, ["wa", "wb"]).filter(F.col("first") < place)
+    away = away.groupBy("a", "b", F.col("first.doc_id").alias("block_id"), F.col("first.key").alias("block_key"), (F.col("first.at") - F.col("offset")).alias("shift")).agg(F.bit_or(F.expr("shiftleft(1L, cast(offset as int))")).alias("bits"))
+    away = scratch.keep(away.groupBy("a", "b").agg(F.bit_or("bits").alias("elsewhere"), F.collect_list(F.struct(F.col("block_id").alias("block"), "block_key", "shift", "bits")).alias("away")))
+    own = F.struct(F.col("first.doc_id").alias("block"), F.col("first.key").alias("block_key"), F.col("first.at").cast("long").alias("shift"), F.expr("(shiftleft(1L, cast(n as int)) - 1L) & ~coalesce(elsewhere, 0L)").alias("bits"))
+    diagonals = index.join(away, ["a", "b"], "left").filter("away is not null or first.doc_id < last")
+    diagonals = scratch.keep(diagonals.select(F.col("block").alias("anchor"), "a", "b", F.concat(F.array(own), F.coalesce("away", F.array().cast(f"array<{_DIAGONAL}>"))).alias("diagonals")))
+    matches = phrases.withColumnRenamed("block", "anchor").join(diagonals, ["anchor", "a", "b"]).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "at", F.inline("diagonals")).filter("block < _d and bits <> 0")
+    # without anchor, a and b the grouping has an exchange of its own, and the join before it can be split where a phrase is hot
+    matches = matches.groupBy("_d", "_k").agg(F.collect_set(F.struct("at", "block", "block_key", "shift", "bits")).alias("m"))
+    matches = scratch.keep(matches.select("_d", "_k", F.struct(*[F.col(f"m.{c}").alias(c) for c in ("at", "block", "block_key", "shift", "bits")]).alias("found")))
+    scratch.drop(phrases, index, shared, asked, windows, first, away, diagonals)
+    out = rows.join(matches, (rows["doc_id"] == matches["_d"]) & (rows["key"] == matches["_k"]), "left").select(F.col("given").alias("doc_id"), "text", "found")
+    return out.mapInArrow(_remove(window), f"doc_id long, n_words long, factors array<{_FACTOR}>, spans array<bigint>, kept_text string")
+
+
+def n_removed(spans):
+    """Words in the spans, which do not overlap."""
+    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", n_removed(F.col("factors")).alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", n_removed(F.col("spans")).alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""

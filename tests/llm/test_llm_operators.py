@@ -74,36 +74,70 @@ def test_exact_groups_compare_bytes_beyond_each_digit(spark):
     assert got == {k: (k, 1) for k in (1, 2, 4, 5, 6, 7, 8)} | {0: (3, 2), 3: (3, 2)}
 
 
-def brute_substrings(rows, n=50):
+def brute_parse(rows, n=50):
+    """doc_id, words, factors and kept text, by a greedy parse that compares words: the reference holds first places only."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in rows]
+    ids = [r["doc_id"] if r["doc_id"] is not None else (1 << 63) - 1 for r in rows]
+    order = sorted(range(len(rows)), key=lambda k: (ids[k], rows[k]["_key"]))
     first = {}
-    for r in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
-        i = r["doc_id"] if r["doc_id"] is not None else 1 << 62
-        for k in range(len(w) - n + 1):
-            key = tuple(w[k : k + n])
-            first[key] = min(first.get(key, i), i)
+    for k in order:
+        for at in range(len(split[k]) - n + 1):
+            first.setdefault(tuple(split[k][at : at + n]), (ids[k], rows[k]["_key"], at, k))
     out = []
-    for r in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
-        i = r["doc_id"] if r["doc_id"] is not None else 1 << 62
-        gone = {k + j for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < i for j in range(n)}
-        out.append((r["doc_id"], len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    for k, r in enumerate(rows):
+        w, factors, at = split[k], [], 0
+        while at + n <= len(w):
+            block, key, offset, ref = first[tuple(w[at : at + n])]
+            if block >= ids[k]:
+                at += 1
+                continue
+            length = n
+            while at + length < len(w) and offset + length < len(split[ref]) and w[at + length] == split[ref][offset + length]:
+                if first[tuple(w[at + length - n + 1 : at + length + 1])][:3] != (block, key, offset + length - n + 1):
+                    break  # the block does not hold that window, as it occurs before
+                length += 1
+            factors.append((at, length, block, offset))
+            at += length - n + 1  # the windows astride the factor's end are next
+        gone = {p for start, length, _, _ in factors for p in range(start, start + length)}
+        out.append((r["doc_id"], len(w), tuple(factors), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
     return collections.Counter(out)
 
 
-def test_substrings_against_brute_force(docs):
+def parsed(df):
+    """What the operator gives for `df`, and what brute force does."""
+    got = substring_dedup.remove_repeats(df).withColumn("gone", substring_dedup.n_removed(F.col("spans")))
+    got = collections.Counter((r["doc_id"], r["n_words"], tuple((f["start"], f["length"], f["block"], f["offset"]) for f in r["factors"]), r["gone"], r["kept_text"]) for r in collected(got))
+    return got, brute_parse(collected(df.withColumn("_key", F.xxhash64("text"))))
+
+
+def test_factors_against_brute_force(docs):
     for df in (docs, with_extras(docs)):
-        got = substring_dedup.remove_repeats(df).withColumn("gone", substring_dedup.n_removed(F.col("factors")))
-        assert collections.Counter((r["doc_id"], r["n_words"], r["gone"], r["kept_text"]) for r in collected(got)) == brute_substrings(collected(docs))
+        got, want = parsed(df)
+        assert got == want and any(f for _, _, f, _, _ in got)
 
 
-def test_substrings_of_passages_at_all_offsets(spark):
+def test_factors_of_passages_at_all_offsets(spark):
     passage = words(120, 5)
     w = passage.split()
     rows = [(0, passage, None, None)] + [(k + 1, " ".join([*words(k % 9, k).split(), *w[k : k + 40 + k], *words(7, 99 + k).split()]), None, None) for k in range(40)]
-    df = spark.createDataFrame(rows, DOCS)
-    got = substring_dedup.remove_repeats(df).withColumn("gone", substring_dedup.n_removed(F.col("factors")))
-    assert collections.Counter((r["doc_id"], r["n_words"], r["gone"], r["kept_text"]) for r in collected(got)) == brute_substrings(collected(df))
+    got, want = parsed(spark.createDataFrame(rows, DOCS))
+    assert got == want
+
+
+def test_factors_of_chained_overlapping_copies(spark):
+    """Each text is made of stretches of the ones before: windows of one phrase lie in several blocks, phrases share anchors."""
+    rng, texts = random.Random(12), [words(300, 41, 10**6).split()]
+    for k in range(60):
+        t = []
+        while len(t) < 260:
+            own = rng.choice(texts)
+            at = rng.randrange(max(1, len(own) - 60))
+            t += own[at : at + rng.randrange(20, 110)] if rng.random() < 0.8 else words(rng.randrange(1, 20), 7000 + 60 * k + len(t)).split()
+        texts.append(t)
+    rows = [(k, " ".join(t), None, None) for k, t in enumerate(texts)] + [((1 << 63) - 1, " ".join(texts[5]), None, None), (None, " ".join(texts[6]), None, None), (7, " ".join(texts[30]), None, None)]
+    got, want = parsed(spark.createDataFrame(rows, DOCS).repartition(5))
+    assert got == want
+    assert any(a[0] + a[1] > b[0] for _, _, f, _, _ in got for a, b in zip(f, f[1:]))  # factors that overlap at their boundary
 
 
 def bag(t):
