@@ -51,16 +51,22 @@ def dedup_lines(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     gone = repeated_lines(docs, n).withColumnsRenamed({"doc_id": "__doc", "key": "__key", "gone": "__gone"})
     keyed = docs.withColumn("__text_key", text_key(F.col("text")))
     both = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["__doc"]) & (keyed["__text_key"] == gone["__key"]), "left")
-    kept = F.expr("array_join(map_values(map_filter(map_from_arrays(sequence(0L, size(__lines) - 1L), __lines), (i, x) -> not coalesce(array_contains(__gone, i), false))), '\\n')")
     return (
-        both.withColumn("__lines", _lines(F.col("text").cast("string")))
-        .withColumn("n_lines", F.size("__lines").cast("long"))
+        both.withColumn("n_lines", F.size(_lines(F.col("text").cast("string"))).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without(F.col("text").cast("string"), F.col("__gone"))))
         .select(*docs.columns, "n_lines", "n_removed")
     )
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text's other lines. array_except looks its numbers up in a hash set, and each line that stays is read by its number,
+    so the work is in proportion to the lines. The outer transform, over one row's lines and numbers, splits the text once."""
+    both = F.array(F.struct(_lines(text).alias("lines"), gone.alias("gone")))
+    stay = lambda x: F.array_except(F.sequence(F.lit(0).cast("long"), F.size(x["lines"]).cast("long") - 1), x["gone"])
+    return F.transform(both, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x["lines"], i.cast("int"))), "\n"))[0]
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
