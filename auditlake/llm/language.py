@@ -4,7 +4,9 @@ Each language has a model of five-letter sequences over lower-cased letters and
 arrays sorted by the hash of the sequence. The sequences that any language has seen are put in one such
 array with their log probability in every language; sequences new to all fall back on the models' lower
 orders. The language with the lowest cross-entropy per letter wins. How far it is ahead, and how usual its
-entropy is, become a score; a text that is unlike all languages is marked as rejected.
+entropy is for a text of that length, become a score. Its curve is fitted on texts that the models have not
+seen, each once as it is and once with its own language left out, which is what a text of an unknown language
+looks like. A text that scores under 0.5 is marked as rejected.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from auditlake.llm._words import U, mix
 
 ORDER = 5
 SLOTS = 400  # texts of each language that the models are fitted on, at most
+CHARACTERS = 100_000  # of each of them, at most
+LANGUAGES = 256  # learned, at most: those with most texts
+UNKNOWN = 0.1  # share of texts in other languages that the score's curve assumes
 UNDETERMINED = "und"
 BLOCK_LETTERS = 1 << 19
 _BASE = U(0x9E3779B97F4A7C15)
@@ -101,7 +106,7 @@ class Model:
     def __init__(self, languages: list[str], models: list[KneserNey], order: int):
         self.languages, self.models, self.order = languages, models, order
         self.table, self.logs, self.radix = np.zeros(0, U), np.zeros((0, len(languages)), np.float32), np.zeros(2, np.int64)
-        self.bits, self.limit, self.curve = 1, [], [0.0, 1.0, 0.0]
+        self.bits, self.usual, self.curve = 1, np.zeros((len(languages), 3)), START
 
     def index(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Log probabilities, in every language, of all sequences that any language has seen."""
@@ -164,19 +169,35 @@ class Model:
             best, p = entropy.argmin(1), self._scores(entropy, count)
             for k in range(last - at):
                 if any(map(str.isalpha, texts[at + k])):
-                    b = best[k]
-                    lang[at + k], score[at + k], rejected[at + k] = self.languages[b], p[k], entropy[k, b] > self.limit[b] or p[k] < 0.5
+                    lang[at + k], score[at + k], rejected[at + k] = self.languages[best[k]], p[k], p[k] < 0.5
             at = last
         return lang, score, rejected
 
     def _scores(self, entropy: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_margin(entropy, count) @ np.array(self.curve), -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(_signs(entropy, count, self.usual) @ self.curve, -50, 50)))
 
 
-def _margin(entropy: np.ndarray, count: np.ndarray) -> np.ndarray:
+START = np.array([0.0, 1.0, 0.0, -1.0])
+
+
+def _signs(entropy: np.ndarray, count: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """What the score goes by: 1, the lead in nats over the whole text and a place, and how far the best language's entropy is
+    over its usual one, in deviations of a text of that length. usual: a language's mean, variance of a place, variance of a text."""
+    best = entropy.argmin(1)
     two = np.sort(entropy, 1)[:, :2]
     lead = two[:, 1] - two[:, 0] if entropy.shape[1] > 1 else np.ones(len(entropy))
-    return np.column_stack([np.ones(len(entropy)), np.log1p(lead * count), lead])
+    mean, place, text = usual[best].T
+    over = (two[:, 0] - mean) / np.sqrt(place / np.maximum(count, 1) + text + 1e-6)
+    return np.column_stack([np.ones(len(entropy)), np.log1p(lead * count), lead, np.clip(over, -3, 30)])
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression, drawn to START where texts are few."""
+    w, pull = START.copy(), 0.1
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (weight * (y - p)) - pull * (w - START))
+    return w
 
 
 def fit(labelled: list[tuple[str, str]], order: int = ORDER) -> Model:
@@ -193,22 +214,30 @@ def fit(labelled: list[tuple[str, str]], order: int = ORDER) -> Model:
     # whole texts and their first words: short texts are harder, and the curve has to know
     rest = [(x, piece) for x, t in ((x, t) for x in languages for t in by[x][::4]) for piece in (t, t[:60], t[:20], t[:8]) if any(map(str.isalpha, piece))]
     entropy, count = model.entropies([t for _, t in rest])
-    right = np.array([languages[k] for k in entropy.argmin(1)]) == np.array([x for x, _ in rest])
-    a, y, w, ridge = _margin(entropy, count), right.astype(float), np.array([0.0, 1.0, 0.0]), 0.1
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
-        w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(3), a.T @ (y - p) - ridge * (w - [0.0, 1.0, 0.0]))
-    model.curve = w.tolist()
-    for k, x in enumerate(languages):
-        own = entropy[[r[0] == x and len(r[1]) > 60 for r in rest], k]
-        model.limit.append(float(own.mean() + 6 * own.std()) if len(own) > 1 else float("inf"))
+    own = np.array([languages.index(x) for x, _ in rest])
+    whole = np.array([len(t) > 60 for _, t in rest])
+    for k in range(len(languages)):
+        h, n = entropy[own == k, k], count[own == k].astype(float)
+        if len(h):
+            long = h[whole[own == k]] if whole[own == k].any() else h
+            model.usual[k] = long.mean(), ((h - long.mean()) ** 2 * n).mean(), long.var()
+    right = (entropy.argmin(1) == own).astype(float)
+    x, y, weight = _signs(entropy, count, model.usual), right, np.ones(len(rest))
+    if len(languages) > 1:  # the same texts, as if their language were not known
+        for k in range(len(languages)):
+            others = np.delete(np.arange(len(languages)), k)
+            part = _signs(entropy[own == k][:, others], count[own == k], model.usual[others])
+            x, y = np.concatenate([x, part]), np.append(y, np.zeros(len(part)))
+            weight = np.append(weight, np.full(len(part), UNKNOWN / (1 - UNKNOWN)))
+    model.curve = _fit_curve(x, y, weight)
     return model
 
 
-def fit_on(docs: DataFrame, slots: int = SLOTS) -> Model:
-    """Learns from text and lang of rows with a lang whose crc32(doc_id) mod 3 is not 1, at most `slots` a language."""
+def fit_on(docs: DataFrame, slots: int = SLOTS, characters: int = CHARACTERS, languages: int = LANGUAGES) -> Model:
+    """Learns from text and lang of rows with a lang whose crc32(doc_id) mod 3 is not 1: at most `slots` texts of a language, of
+    each at most `characters`, and of `languages` languages at most, those with most texts."""
     rows = docs.filter(~held_out(F.col("doc_id"), 3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return fit(sample_texts(docs, rows.select("doc_id", F.col("lang").cast("string").alias("label")), slots))
+    return fit(sample_texts(docs, rows.select("doc_id", F.col("lang").cast("string").alias("label")), slots, characters, languages))
 
 
 def _predict(shared):
@@ -223,7 +252,8 @@ def _predict(shared):
 def identify_language(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, key, lang_pred, score, rejected of every row; null and letterless texts: und, 0.0, true.
 
-    A rejected text still has its most likely language in lang_pred. Without any labelled row all are und.
+    The score is how likely lang_pred is right; texts of a language that was not learned score low. A rejected
+    text (score under 0.5) still has its most likely language in lang_pred. Without any labelled row all are und.
     """
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     schema = rows.select("doc_id", "key", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema

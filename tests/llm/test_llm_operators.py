@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,7 +240,7 @@ def test_contamination_against_brute_force(spark, docs):
         assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in collected(got)) == want
     left = collected(decontaminate.decontaminate(docs, bench))
     for r in left:
-        assert decontaminate.decontaminate is not None and not set(item_windows(r["text"], 8)[1]) & set(item_windows(" ".join(w[10:30]), 8)[1])
+        assert not set(item_windows(r["text"], 8)[1]) & set(item_windows(" ".join(w[10:30]), 8)[1])
     clean = {d for d, _, n, _ in want if n == 0}
     assert clean <= {r["doc_id"] for r in left}
     empty = spark.createDataFrame([], "item_id long, text string")
@@ -349,6 +350,143 @@ def test_language_models_on_held_out_texts(spark):
     assert language.fit([]).predict(["abc"])[0] == ["und"]
 
 
+def corpus(spark, path, rows, labels=()):
+    """documents and labels as the queries read them."""
+    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def fold(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+def test_quality_query_on_held_out_rows(spark, tmp_path):
+    rng = random.Random(5)
+    good = lambda n: " ".join(rng.choice(["river", "stone", "walks", "under", "bright", "sky", "and", "the", "slowly", "home"]) for _ in range(n)) + "."
+    bad = lambda n: " ".join(rng.choice(["BUY", "NOW!!!", "$$$", "click", "###", "WIN"]) for _ in range(n))
+    rows = [(k, (bad if k % 3 == 0 else good)(rng.randrange(5, 80)), "en") for k in range(900)]
+    rows += [(5000, None, None), (5001, "", None), (5002, good(60_000), "en"), (3, "a second row of that id", None)]
+    labels = [(k, int(k % 3 != 0)) for k in range(900)] + [(5002, 1), (77, None)]
+    sf = corpus(spark, tmp_path / "a", rows, labels)
+    got = collected(quality.op3_quality(spark, sf))
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    assert all(r["held_out"] == (fold(r["doc_id"], 4) == 2) and r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 900]
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 != 0) for r in held) >= 0.97 * len(held) > 100
+    assert {r["score"] for r in got if r["doc_id"] in (5000, 5001)} == {0.0}
+    # neither the labels of held-out rows nor their texts are learned from
+    other = [(i, 1 - q if fold(i, 4) == 2 and q is not None else q) for i, q in labels]
+    again = corpus(spark, tmp_path / "b", [(i, t if fold(i, 4) != 2 else "x", None) for i, t, _ in rows], other)
+    same = {r["doc_id"]: r["score"] for r in collected(quality.op3_quality(spark, again)) if not r["held_out"] and r["doc_id"] != 3}
+    assert same == {r["doc_id"]: r["score"] for r in got if not r["held_out"] and r["doc_id"] != 3}
+
+
+def test_quality_curve_and_differences_against_plain_compression():
+    import zstandard
+
+    rng = random.Random(6)
+    good, bad = ([" ".join(rng.choice(v) for _ in range(60)) for _ in range(80)] for v in (["lamp", "field", "quiet", "morning"], ["zzz", "!!", "spam", "777"]))
+    model = quality.fit([(1, t) for t in good] + [(0, t) for t in bad])
+    for text in (good[3], bad[4], good[5] + bad[6] * 3, "x"):
+        raw, size = text.encode(), []
+        for d in model.dictionaries:
+            z = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size.append(sum(len(z.compress(raw[i : i + quality.BLOCK_BYTES])) for i in range(0, len(raw), quality.BLOCK_BYTES)))
+        assert abs(quality.differences(model.dictionaries, [raw])[0] - (size[1] - size[0]) / len(raw)) < 1e-12
+    x = quality.differences(model.dictionaries, [t.encode() for t in good + bad])
+    score = quality.score_texts(model, [t.encode() for t in good + bad])
+    assert (score[x.argsort()][1:] >= score[x.argsort()][:-1]).all()
+
+
+def test_quality_with_few_labels(spark):
+    rows = [(1, "one good text", None, None), (2, "BAD BAD", None, None), (3, None, None, None), (4, "good " * 40_000, None, None)]
+    df, label = spark.createDataFrame(rows, DOCS), "doc_id long, quality int"
+    for labels in ([], [(1, 1)], [(99, 0), (1, 1)], [(3, 0), (1, 1)]):  # none, one class, one of an unknown document, one of a null text
+        kept = quality.keep_good(df, spark.createDataFrame(labels, label))
+        assert sorted(r["doc_id"] for r in collected(kept)) == [1, 2, 3, 4]
+    model = quality.fit_on(df, spark.createDataFrame([(1, 1), (2, 0)], label))
+    assert model.dictionaries and all(0 <= r["score"] <= 1 for r in collected(quality.score_quality(df, model)))
+
+
+def test_samples_are_bounded_and_leave_no_label_out(spark):
+    from auditlake.llm._sample import sample_texts
+
+    long = "".join(chr(97 + k % 26) for k in range(200_000))
+    rows = [(k, f"text {k}", "a", None) for k in range(300)] + [(1000, long, "b", None), (1000, long, "b", None), (1001, None, "c", None), (1002, " ", "c", None), (None, "x", "a", None)] + [(2000 + k, "rare", f"r{k}", None) for k in range(5)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = sample_texts(df, df.select("doc_id", F.col("lang").alias("label")), 40, 1000)
+    assert got == sample_texts(df.repartition(2), df.select("doc_id", F.col("lang").alias("label")), 40, 1000)
+    by = collections.Counter(label for label, _ in got)
+    assert 35 <= by["a"] <= 40 and by["b"] == 1 and "c" not in by and len(by) == 7
+    (piece,) = [t for label, t in got if label == "b"]
+    assert len(piece) == 1000 and piece in long
+    assert {label for label, _ in sample_texts(df, df.select("doc_id", F.col("lang").alias("label")), 40, 1000, labels=1)} == {"a"}
+
+
+def test_language_query_on_held_out_rows(spark, tmp_path):
+    rng = random.Random(7)
+    parts = {"aa": ["ka", "ri", "to", "mu", "sha"], "bb": ["ent", "ung", "sch", "er", "ich"], "cc": ["eau", "oi", "lé", "ment", "que"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(k, text(lang := ["aa", "bb", "cc"][k % 3], rng.randrange(3, 80)), lang) for k in range(900)]
+    rows += [(5000, None, "aa"), (5001, "12 34 !?", None), (5002, text("bb", 40_000), "bb"), (5003, text("cc", 30), None)]
+    got = {r["doc_id"]: r for r in collected(language.op8_language(spark, corpus(spark, tmp_path / "a", rows)))}
+    assert len(got) == len(rows) and all(r["held_out"] == (fold(i, 3) == 1) and 0 <= r["score"] <= 1 for i, r in got.items())
+    held = [i for i in range(900) if got[i]["held_out"]]
+    assert sum(got[i]["lang_pred"] == ["aa", "bb", "cc"][i % 3] for i in held) >= 0.98 * len(held) > 200
+    assert [got[k]["lang_pred"] for k in (5000, 5001, 5002, 5003)] == ["und", "und", "bb", "cc"]
+    # held-out rows are not learned from, and lang is no input of a prediction
+    again = corpus(spark, tmp_path / "b", [(i, t, None if fold(i, 3) == 1 else lang) for i, t, lang in rows])
+    assert {i: (r["lang_pred"], r["score"]) for i, r in got.items()} == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in collected(language.op8_language(spark, again))}
+
+
+def test_language_scores_reject_what_was_not_learned():
+    rng = random.Random(9)
+    parts = {"aa": ["ka", "ri", "to", "mu", "sha"], "bb": ["ent", "ung", "sch", "er", "ich"], "cc": ["eau", "oi", "lé", "ment", "que"], "dd": ["ost", "fra", "wik", "hel"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    model = language.fit([(lang, text(lang, rng.randrange(5, 60))) for lang in ("aa", "bb", "cc") for _ in range(120)])
+    known = [(lang, text(lang, rng.randrange(5, 60))) for lang in ("aa", "bb", "cc") for _ in range(100)]
+    lang, score, rejected = model.predict([t for _, t in known])
+    right = sum(x == y for x, (y, _) in zip(lang, known))
+    assert right >= 297 and abs(score.mean() - right / 300) < 0.05 and rejected.sum() <= 6
+    odd = [text("dd", 30) for _ in range(50)] + ["Это предложение написано на русском языке", "これは日本語の文章です"] + ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(60)) for _ in range(50)]
+    _, score, rejected = model.predict(odd)
+    assert rejected.mean() > 0.95 and score.mean() < 0.1
+
+
+def test_kneser_ney_against_brute_force():
+    import math
+
+    rng, order = random.Random(10), 3
+    train = ["".join(rng.choice("abcd  ") for _ in range(60)) for _ in range(6)]
+    codes, places, _ = language.encode(train, order)
+    alphabet = 9
+    model = language.KneserNey(codes, places, order, alphabet)
+    grams = [collections.Counter() for _ in range(order + 1)]
+    for p in places.tolist():
+        grams[order][tuple(codes[p - order + 1 : p + 1].tolist())] += 1
+    for n in range(order - 1, 0, -1):
+        for g in grams[n + 1]:
+            grams[n][g[1:]] += 1
+    discount = [0.0] * (order + 1)
+    for n in range(1, order + 1):
+        one, two = (sum(c == k for c in grams[n].values()) for k in (1, 2))
+        discount[n] = min(max(one / max(one + 2 * two, 1), 0.1), 0.95)
+
+    def probability(g):
+        p = 1 / alphabet
+        for n in range(1, order + 1):
+            own = {k: c for k, c in grams[n].items() if k[:-1] == g[len(g) - n : -1]}
+            if own:
+                p = (max(own.get(g[len(g) - n :], 0) - discount[n], 0) + discount[n] * len(own) * p) / sum(own.values())
+        return p
+
+    test_codes, test_places, _ = language.encode(["abca dab", "xyz abd"], order)
+    got = model.probability([language.gram(test_codes, test_places, n + 1) for n in range(order)], [language.gram(test_codes, test_places - 1, n) for n in range(order)])
+    want = [probability(tuple(test_codes[p - order + 1 : p + 1].tolist())) for p in test_places.tolist()]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got.tolist(), want, strict=True))
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     import numpy as np
 
