@@ -1,16 +1,18 @@
 """Near duplicates by BagMinHash: bags of five-word shingles, banded signatures, verified multiset overlap.
 
 Weights are the shingles' counts. Each (shingle, dyadic weight interval) is a Poisson process whose rate is
-the interval's width and whose points carry a time, a register and a level; an interval that a weight covers
-only in part is bisected, bit by bit of the level, and points above the weight are passed over. A register
-holds its earliest point, so two bags agree in a register with a chance equal to their weighted Jaccard
-similarity. Points are drawn only up to the time by which all registers are filled.
+the interval's width and whose points carry a time, a register and a level within the interval. The process
+of the topmost interval, which a weight may cover only in part, is thinned: points above the weight are passed
+over, less than half of them, which leaves the process of the part that is covered. A register holds its
+earliest point, so two bags agree in a register with a chance equal to their weighted Jaccard similarity.
+Points are drawn only up to the time by which all registers are filled.
 
 Bags that are equal are one vertex. Bands of registers put vertices into buckets. Within a bucket no pairs
 are listed: one pivot is compared with the members, and the verified links are closed to components. Buckets
 that then lie in one component are done. In the others the vertices outside the largest component look for
 all their partners by an exact prefix join over rare shingles first, however large the bucket is. So each
-link between members of a bucket is either verified or implied.
+link between members of a bucket is either verified or implied. Where that join meets two bags, 512 bits of
+each bound their difference from below; only what they leave open is a pair, and only pairs move bags.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ BANDS = 32
 ROWS = 5
 BANDS_PER_DOUBLING = 16  # of bag sizes, in the prefix join
 EPSILON = 1e-9
+SKETCH = 8  # words of 64 bits
 GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -132,7 +135,11 @@ def _signatures(n: int, bands: int, rows: int):
 
 
 def _bag_items(n: int):
-    """Per text its bag as a set: the i-th occurrence of a shingle is an item of its own."""
+    """Per text its bag as a set, the i-th occurrence of a shingle being an item of its own, and the set's parities.
+
+    Each item turns over one of the sketch's bits. The items that two sets share turn over the same bits, so the
+    bits in which their sketches differ are no more than the items in which the sets do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +150,10 @@ def _bag_items(n: int):
                 items = mix(np.repeat(h, count) + nth.astype(U) * GOLD)
                 upto = np.searchsorted(np.repeat(text, count), np.arange(size + 1))
                 lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(signed(items)))
-                yield pa.record_batch([b.slice(s.first, size).column("v"), lists], names=["v", "items"])
+                bit, sketch = mix(items ^ GOLD) % U(64 * SKETCH), np.zeros(size * SKETCH, U)
+                np.bitwise_xor.at(sketch, np.repeat(text, count) * SKETCH + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, size * SKETCH + 1, SKETCH, dtype=np.int32)), pa.array(signed(sketch)))
+                yield pa.record_batch([b.slice(s.first, size).column("v"), lists, sketches], names=["v", "items", "sketch"])
 
     return run
 
@@ -172,34 +182,41 @@ def _stars(buckets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _ordered_prefixes(bags_: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """v, label, outside, n and prefix: the bag's rarest items, as many as a link can do without plus one.
+    """v, label, outside, n, sketch and prefix: the bag's rarest items, as many as a link can do without plus one.
 
     Bags that overlap in o items have one in common among the n - o + 1 first items of either, whatever the
     order, as long as it is the same for all. With the rarest first, what many bags share comes last.
     """
-    each = scratch.keep(bags_.select("v", "label", "outside", F.size("items").alias("n"), F.explode("items").alias("item")))
+    each = scratch.keep(bags_.select("v", F.explode("items").alias("item")))
     often = scratch.keep(each.groupBy("item").agg(F.count(F.lit(1)).alias("often")))
-    sorted_ = each.join(often.hint("merge"), "item").groupBy("v", "label", "outside", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("l"))
+    sorted_ = each.join(often.hint("merge"), "item").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("l"))
+    sorted_ = sorted_.join(bags_.select("v", "label", "outside", "sketch", F.size("items").alias("n")).hint("merge"), "v")
     short = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - EPSILON) + 1
-    return scratch.keep(sorted_.select("v", "label", "outside", F.col("n").cast("long").alias("n"), F.transform(F.slice("l", F.lit(1), short.cast("int")), lambda x: x["item"]).alias("prefix")))
+    out = scratch.keep(sorted_.select("v", "label", "outside", F.col("n").cast("long").alias("n"), "sketch", F.transform(F.slice("l", F.lit(1), short.cast("int")), lambda x: x["item"]).alias("prefix")))
+    scratch.drop(each, often)
+    return out
 
 
 def _remaining(prefixes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u, v) of an outside vertex with any vertex of another label that can still be linked: none is missed.
 
     The overlap that a link of sizes n and m takes is share * (n + m), so the two prefixes are shorter the larger
-    the partner is. Items are met together with a band of the partner's size, and the exact lengths decide.
+    the partner is. Items are met together with a band of the partner's size, and the exact lengths decide. Then
+    the sketches do: a link's bags differ in n + m - 2 * overlap items at most. All that is within the join, so what
+    leaves it is little more than the links; families of texts in which few are linked cost it time, not rows.
     """
     share = F.lit(similarity / (1 + similarity))
     band = lambda n: F.floor(F.lit(BANDS_PER_DOUBLING) * F.log2(n))
     least, most = F.ceil(F.lit(similarity) * F.col("n") - EPSILON), F.floor(F.col("n") / F.lit(similarity) + EPSILON)
-    a = prefixes.filter("outside").select("v", "label", "n", "prefix", least.alias("least"), F.explode(F.sequence(band(least), band(most))).alias("band"))
+    a = prefixes.filter("outside").select("v", "label", "n", "sketch", "prefix", least.alias("least"), F.explode(F.sequence(band(least), band(most))).alias("band"))
     smallest = F.greatest(F.col("least"), F.ceil(F.pow(F.lit(2.0), F.col("band") / F.lit(BANDS_PER_DOUBLING)) - EPSILON))
     length = F.least(F.col("n") - F.ceil(share * (F.col("n") + smallest) - EPSILON) + 1, F.size("prefix"))
-    a = a.withColumn("length", length).filter("length > 0").select(F.col("v").alias("u"), F.col("label").alias("_label"), F.col("n").alias("_n"), "band", F.posexplode(F.slice("prefix", F.lit(1), F.col("length").cast("int"))).alias("_at", "item"))
-    b = prefixes.select("v", "label", "n", band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "item"))
+    a = a.withColumn("length", length).filter("length > 0").select(F.col("v").alias("u"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"), "band", F.posexplode(F.slice("prefix", F.lit(1), F.col("length").cast("int"))).alias("_at", "item"))
+    b = prefixes.select("v", "label", "n", "sketch", band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "item"))
     overlap = F.ceil(share * (F.col("n") + F.col("_n")) - EPSILON)
-    both = a.join(b, ["item", "band"]).filter((F.col("u") != F.col("v")) & (F.col("label") != F.col("_label")) & (F.col("_at") <= F.col("_n") - overlap) & (F.col("at") <= F.col("n") - overlap))
+    differ = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("_sketch", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    near = differ <= F.col("n") + F.col("_n") - 2 * overlap
+    both = a.join(b, ["item", "band"]).filter((F.col("u") != F.col("v")) & (F.col("label") != F.col("_label")) & (F.col("_at") <= F.col("_n") - overlap) & (F.col("at") <= F.col("n") - overlap) & near)
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -218,10 +235,14 @@ def _closed(buckets: DataFrame, items: DataFrame, similarity: float, scratch: Sc
     parts = scratch.keep(members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")))
     unsettled = scratch.keep(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top")).filter("parts > 1").select("bucket", F.col("top.label").alias("top")))
     left = members.join(unsettled.hint("merge"), "bucket").groupBy("v").agg(F.min("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("outside"))
-    bags_ = items.join(scratch.keep(left).hint("merge"), "v")
-    pairs = _remaining(_ordered_prefixes(bags_, similarity, scratch), similarity)
+    bags_ = scratch.keep(items.join(scratch.keep(left).hint("merge"), "v"))
+    scratch.drop(members, parts, unsettled)
+    prefixes = _ordered_prefixes(bags_, similarity, scratch)
+    pairs = _remaining(prefixes, similarity)
     pairs = scratch.keep(pairs.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti"))
+    scratch.drop(bags_, prefixes, stars)
     more = scratch.keep(_verified(pairs, items, similarity))
+    scratch.drop(pairs)
     if more.isEmpty():
         return labels
     # labels stand for the links before: a vertex is linked with its component
@@ -250,14 +271,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMIL
     buckets = scratch.keep(each.join(shared.hint("merge"), "bucket"))
     needed = scratch.keep(buckets.select("v").distinct().join(vertices, "v").select("v", F.col("first.doc_id").alias("_d"), F.col("first.key").alias("_k")))
     bag = texts.join(needed.hint("merge"), texts["doc_id"].eqNullSafe(needed["_d"]) & (texts["key"] == needed["_k"])).select("v", "text")
-    items = scratch.keep(bag.mapInArrow(_bag_items(n), "v long, items array<bigint>").dropDuplicates(["v"]))
+    items = scratch.keep(bag.mapInArrow(_bag_items(n), "v long, items array<bigint>, sketch array<bigint>").dropDuplicates(["v"]))
     labels = _closed(buckets, items, similarity, scratch)
     if labels is None:
         labels = spark.createDataFrame([], "v long, component long")
     named = scratch.keep(vertices.join(labels, "v", "left").select("a", "b", "first", "size", F.coalesce("component", "v").alias("component")))
     heads = scratch.keep(named.groupBy("component").agg(F.min("first").alias("head"), F.sum("size").alias("class_size")))
     named = scratch.keep(named.join(heads, "component").select("a", "b", "head", "class_size"))
-    scratch.drop(shared, buckets, needed, items)
+    scratch.drop(shared, buckets, needed, items, vertices, heads)
     linked = sig.filter("n > 0").join(named, ["a", "b"]).select("doc_id", "key", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("head") == place).alias("kept"))
     alone = sig.filter("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -194,6 +195,55 @@ def test_near_duplicates_of_a_group_without_its_origin(spark):
     assert set(map(frozenset, got.values())) == brute_classes([{"text": t} for _, t, _, _ in rows])
 
 
+def test_near_duplicates_of_a_template_with_slots(spark):
+    """Texts of one template that vary in 12 places: nearly all share buckets, few are linked, and few pairs leave the prefix join."""
+    rng, base = random.Random(21), words(200, 22, 10**6).split()
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for slot in range(12):
+            w[8 + 16 * slot] = f"s{slot}v{rng.randrange(3)}"
+        rows.append((k, " ".join(w), None, None))
+    got, pairs = collections.defaultdict(set), []
+    keep = near_dedup._remaining
+
+    def counted(*args):
+        out = keep(*args)
+        pairs.append(out.count())
+        return out
+
+    near_dedup._remaining = counted
+    try:
+        for r in collected(near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5))):
+            got[r["class_id"]].add(r["doc_id"])
+    finally:
+        near_dedup._remaining = keep
+    assert set(map(frozenset, got.values())) == brute_classes([{"text": t} for _, t, _, _ in rows])
+    assert sum(pairs) < 300 * 299 / 2 / 8  # of all pairs
+
+
+def test_near_duplicates_of_long_template_texts(spark):
+    """Bags of 2,000 shingles, whose sketches are full, are told apart all the same."""
+    rng, base = random.Random(31), words(2000, 32, 10**6).split()
+    rows = [(k, " ".join(f"v{k}x{j}" if rng.random() < 0.01 * (k % 7) else x for j, x in enumerate(base)), None, None) for k in range(40)]
+    got = collections.defaultdict(set)
+    for r in collected(near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS))):
+        got[r["class_id"]].add(r["doc_id"])
+    assert set(map(frozenset, got.values())) == brute_classes([{"text": t} for _, t, _, _ in rows])
+
+
+def test_every_link_of_the_documents_is_in_a_class(spark):
+    """All documents of sf 0.01 against those whose id is divisible by 100: linked texts are in one class, all of them."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    rows = [r for r in collected(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))]
+    bags = {r["doc_id"]: bag(r["text"]) for r in rows}
+    by = {r["doc_id"]: r["class_id"] for r in collected(near_dedup.op7_near_dedup(spark, sf))}
+    links = [(q, i) for q in bags if q % 100 == 0 for i in bags if i != q and bags[q] and bags[i] and jaccard(bags[q], bags[i]) >= 0.8]
+    assert len(by) == len(rows) and all(by[q] == by[i] for q, i in links)
+
+
 def test_signatures_estimate_weighted_jaccard():
     import pyarrow as pa
 
