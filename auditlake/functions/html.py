@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,6 +29,7 @@ jsonld_scripts int, jsonld_parseable int, jsonld_invalid int, jsonld_types array
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style noscript svg nav footer".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ROOTS = ("main", "article", "body")
 _PLACES = {"main": "contextual", "article": "contextual", "nav": "navigation", "footer": "footer"}
 _SPACE = re.compile(r"\s+")
 _NO_PAGE = re.compile(NO_PAGE)
@@ -41,9 +43,11 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # open elements: tag, number
+        self.depth: Counter = Counter()  # open elements by tag, and of the hidden ones, headings, first roots
+        self.places: list[str] = []  # where links lie, innermost last
         self.count = 0
         self.first: dict[str, int] = {}  # number of the first main, article, body, title, html
-        self.texts: list[tuple[str, frozenset, bool, bool]] = []  # text, numbers of open roots, hidden, in a heading
+        self.texts: list[tuple[str, frozenset, bool, bool]] = []  # text, roots it lies in, hidden, in a heading
         self.open: list[tuple[str, int, list[str], dict]] = []  # elements whose text is asked for
         self.title: str | None = None
         self.lang: str | None = None
@@ -59,7 +63,7 @@ class _Page(HTMLParser):
         a: dict[str, str] = {}
         for k, v in attrs:
             a.setdefault(k, v or "")
-        if tag == "a" and any(t == "a" for t, _ in self.stack):
+        if tag == "a":
             self.handle_endtag("a")
         self.count += 1
         new = tag not in self.first
@@ -81,11 +85,23 @@ class _Page(HTMLParser):
             self.h1_count += 1
         if tag == "h1" or (tag == "title" and new) or (tag == "a" and "href" in a) or (tag == "script" and a.get("type", "").lower() == "application/ld+json"):
             if tag == "a":
-                a["location"] = next((_PLACES[t] for t, _ in reversed(self.stack) if t in _PLACES), "other")
+                a["location"] = self.places[-1] if self.places else "other"
                 self.anchors.append(a)
             self.open.append((tag, self.count, [], a))
         if tag not in _VOID:
             self.stack.append((tag, self.count))
+            self._count(tag, self.count, 1)
+            if tag in _PLACES:
+                self.places.append(_PLACES[tag])
+
+    def _count(self, tag: str, number: int, by: int) -> None:
+        self.depth[tag] += by
+        if tag in _HIDDEN:
+            self.depth["-hidden"] += by
+        if tag in _HEADINGS:
+            self.depth["-heading"] += by
+        if tag in _ROOTS and self.first[tag] == number:
+            self.depth["-first " + tag] += by
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -93,16 +109,23 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag), None)
-        if at is not None:
-            gone = {n for _, n in self.stack[at:]}
-            del self.stack[at:]
-            self._finish(gone)
-
-    def _finish(self, gone: set[int] | None) -> None:
-        for o in [o for o in self.open if gone is None or o[1] in gone]:
-            self.open.remove(o)
-            tag, _, parts, a = o
+        if not self.depth[tag]:
+            return
+        ended = ""
+        while ended != tag:
+            ended, number = self.stack.pop()
+            self._count(ended, number, -1)
+            if ended in _PLACES:
+                self.places.pop()
+        self._finish(number)
+
+    def _finish(self, first: int) -> None:
+        """Texts of the open elements from that number on, in the order of their starts."""
+        at = len(self.open)
+        while at and self.open[at - 1][1] >= first:
+            at -= 1
+        gone, self.open = self.open[at:], self.open[:at] if at < len(self.open) else self.open
+        for tag, _, parts, a in gone:
             text = _clean("".join(parts))
             if tag == "title":
                 self.title = text
@@ -117,19 +140,18 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         for o in self.open:
             o[2].append(data)
-        tags = [t for t, _ in self.stack]
         text = _clean(data)
         if text:
-            roots = frozenset(n for t, n in self.stack if t in ("main", "article", "body"))
-            self.texts.append((text, roots, any(t in _HIDDEN for t in tags), any(t in _HEADINGS for t in tags)))
+            roots = frozenset(t for t in _ROOTS if self.depth["-first " + t])
+            self.texts.append((text, roots, self.depth["-hidden"] > 0, self.depth["-heading"] > 0))
 
     def end(self) -> None:
         self.close()
-        self._finish(None)
+        self._finish(0)
 
     def visible(self, headings: bool) -> str:
         """Text of the first main, else article, else body; of all that is no head where none is marked."""
-        root = next((self.first[t] for t in ("main", "article", "body") if t in self.first), None)
+        root = next((t for t in _ROOTS if t in self.first), None)
         return " ".join(t for t, roots, hidden, heading in self.texts if (root is None or root in roots) and not hidden and (headings or not heading))
 
     def meta(self, attribute: str, value: str) -> str | None:

@@ -88,21 +88,22 @@ def valid_hreflang(code: Column, country_codes: list[str] | None = None) -> Colu
 
 
 def language_scores(text: Column) -> Column:
-    """The text's words, those among them that any language lists, and the score of a list over the column `kept`.
+    """The text's words; those among them that any language lists, each five times at most; and the score of a list over these, the column `kept`.
 
-    Frequencies are never exploded: per stopword the words equal to it are counted, five at most.
+    Sorted, equal words stand side by side, so that one replacement cuts their runs; a score then is one pass over what is left.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
     known = sorted({w for s in STOPWORDS.values() for w in s.split()})
-    kept = F.filter(words, lambda w: w.isin(known))
-    score = lambda s: F.aggregate(F.array(*map(F.lit, s.split())), F.lit(0), lambda acc, w: acc + F.least(F.lit(MOST_PER_WORD), F.size(F.filter("kept", lambda k: k == w))))
+    in_order = F.array_join(F.array_sort(F.filter(words, lambda w: w.isin(known))), " ")
+    kept = F.split(F.regexp_replace(in_order, rf"(?<![^ ])([^ ]+)((?: \1(?![^ ])){{{MOST_PER_WORD - 1}}})(?: \1(?![^ ]))+", "$1$2"), " ")
+    score = lambda s: F.size(F.filter("kept", lambda w: w.isin(s.split())))
     return words, kept, score
 
 
 def detect_language(df, text: str):
     """Adds detected_lang (null if unsure) and confidence (3 decimals) for the column `text`."""
     words, kept, score = language_scores(F.col(text))
-    df = df.withColumn("kept", F.transform(kept, lambda w: w)).withColumn("_words", F.size(words))
+    df = df.withColumn("kept", kept).withColumn("_words", F.size(words))
     scores = F.array(*[F.struct(score(s).alias("score"), F.lit(-k).alias("rank"), F.lit(lang).alias("lang")) for k, (lang, s) in enumerate(STOPWORDS.items())])
     df = df.withColumn("_scores", F.sort_array(scores, asc=False))
     top, second = F.get("_scores", F.lit(0)), F.get("_scores", F.lit(1))["score"]

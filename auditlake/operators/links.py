@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import urls
 from auditlake.operators.rules import LINKS, found
+from auditlake.scratch import Scratch, shared_dir
 
 MOST_TARGETS = 50
 
@@ -92,36 +93,33 @@ def link_issues(pages: DataFrame, effective_links: DataFrame, checks: DataFrame)
     )
 
 
-def crawl_depth(edges: DataFrame, root: int, most: int = 1000) -> DataFrame:
+def crawl_depth(edges: DataFrame, root: int) -> DataFrame:
     """page_idx, depth: the fewest clicks from the root over edges (src, dst). Pages out of reach are not in it.
 
-    Breadth first: each round joins the frontier with the edges and drops what has been seen. Tables of a
-    round go through checkpoint(), which lies in the folder all executors share, so neither lineage nor a
-    lost executor costs more than one round. Rounds equal the depth of the site, not its size.
+    Breadth first, until a round finds nothing new: each joins the frontier with the edges and drops what has been
+    seen. What a round finds is a table in the shared folder, so a lost executor costs that round at most, and the
+    planner knows how small a frontier is: the edges, written once, are then read where they lie and not shuffled.
+    Rounds equal the depth of the site, not its size.
     """
     spark = edges.sparkSession
-    checkpointed(spark)
-    edges = edges.select("src", "dst").distinct().checkpoint()
+    scratch = Scratch(spark, "depth")
+    edges = scratch.keep(edges.select("src", "dst").distinct().filter("src <> dst"))
     seen = spark.createDataFrame([(root, 0)], "page_idx long, depth int")
-    frontier = seen
-    for depth in range(1, most + 1):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         new = edges.join(frontier.select(F.col("page_idx").alias("src")), "src").select(F.col("dst").alias("page_idx")).distinct().join(seen, "page_idx", "left_anti")
-        frontier = new.withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = scratch.keep(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            scratch.drop(edges, frontier)
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def checkpointed(spark) -> None:
-    """Uses spark.checkpoint.dir; only a local session that sets none gets a temporary folder."""
-    import tempfile
-
+    """Lets checkpoint() write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="auditlake-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def follow_redirects(hops: DataFrame, most: int = 5) -> DataFrame:

@@ -19,16 +19,17 @@ CATEGORIES = (
     ("indexability", "robots_", "x_robots_"),
 )
 TEMPLATED = ("metadata", "social", "multilingual", "structured-data", "images")
-CAUSES = {
-    "metadata": "Titles or descriptions come from one generator or template.",
-    "social": "Previews come from one template, or pages do not override it.",
-    "multilingual": "Language routing or alternates come from one piece of code.",
-    "canonical": "Canonical URLs or their normal form come from one piece of code.",
-    "structured-data": "JSON-LD comes from one template.",
-    "internal-links": "Navigation or templates repeat one outdated target.",
-    "images": "One image component, or one habit of authors.",
-    "indexability": "One setting of robots or indexing.",
-    "technical": "One implementation that repeats, not a fault of a page.",
+#: Where to look first when a finding of the category repeats.
+PLACES = {
+    "metadata": "the template of the head",
+    "social": "the preview tags",
+    "multilingual": "the language switch",
+    "canonical": "how canonical URLs are built",
+    "structured-data": "what writes the JSON-LD",
+    "internal-links": "menus and shared links",
+    "images": "the image component",
+    "indexability": "the robots settings",
+    "technical": "the server and what runs on it",
 }
 
 
@@ -59,10 +60,11 @@ def patterns(issues: DataFrame, pages: DataFrame, limit: int | None = 20) -> Dat
     total = F.broadcast(pages.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_pages")))  # one row
     g = g.filter("urls > 1").crossJoin(total).withColumn("category", category(F.col("code")))
     scope = F.when((F.col("urls") >= 3) & (F.col("urls") / F.col("_pages") >= 0.5) & F.col("category").isin(*TEMPLATED), "likely-template").when((F.col("urls") == F.col("_pages")) & (F.col("_pages") > 1), "sitewide").otherwise("repeated")
-    cause = F.element_at(F.create_map(*[F.lit(x) for kv in CAUSES.items() for x in kv]), F.col("category"))
+    place_to_look = F.element_at(F.create_map(*[F.lit(x) for kv in PLACES.items() for x in kv]), F.col("category"))
+    cause = F.concat(F.when(F.col("scope") == "likely-template", "At least half of the pages have it. ").otherwise(""), F.lit("Look first at "), place_to_look, F.lit("."))
     out = g.withColumn("scope", scope).select(
         "code", humanize(F.col("code")).alias("title"), "severity", "category", "scope", "urls", "occurrences", F.coalesce("example.m", F.lit("")).alias("example_message"),
-        F.when(F.col("scope") == "likely-template", F.concat(F.lit("Likely template-level issue. "), cause)).otherwise(cause).alias("likely_root_cause"), F.col("first.page_idx").alias("first_seen"), "first",
+        cause.alias("likely_root_cause"), F.col("first.page_idx").alias("first_seen"), "first",
     )
     order = [rank(F.col("severity")).desc(), F.col("urls").desc(), F.col("first")]
     return (out.orderBy(*order).limit(limit) if limit else out).drop("first")

@@ -30,7 +30,7 @@ deg as (select pg.page_idx, coalesce(incoming, 0)::bigint as incoming, coalesce(
         from pg left join ins using (page_idx) left join outs using (page_idx))"""
 _DEPTH = """
 edge as (select distinct eff.page_idx as src, pg.page_idx as dst from eff join pg on eff.eff = pg.url_key),
-walk(page_idx, depth) as (select 0::bigint, 0 union select edge.dst, walk.depth + 1 from walk join edge on edge.src = walk.page_idx where walk.depth < 20),
+walk(page_idx, depth) as (select 0::bigint, 0 union select edge.dst, walk.depth + 1 from walk join edge on edge.src = walk.page_idx where walk.depth < (select count(*) from pg)),
 dep as (select page_idx, min(depth)::bigint as depth from walk group by 1)"""
 
 
@@ -99,7 +99,7 @@ def _issue(*checks: tuple[str, str, str, str], source: str) -> str:
 
 
 def sql() -> dict[str, str]:
-    from auditlake.operators.patterns import CAUSES
+    from auditlake.operators.patterns import PLACES
     from auditlake.plans.catalog import NOW, ROBOTS
 
     q: dict[str, str] = {}
@@ -217,12 +217,12 @@ def sql() -> dict[str, str]:
       o as (select page_idx, href, lower(regexp_extract(href, '^https?://([^/?#]*)', 1)) as h, lower(regexp_extract(href, '^(https?)', 1)) as s from l),
       p as (select page_id as page_idx, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as h, lower(regexp_extract(url, '^(https?)', 1)) as s from pages)
       select o.page_idx, count(distinct href) as mixed from o join p using (page_idx) where o.h = p.h and o.s <> p.s group by 1"""
-    causes = " ".join(f"when '{k}' then '{v}'" for k, v in CAUSES.items())
+    places = " ".join(f"when '{k}' then '{v}'" for k, v in PLACES.items())
     q["issue_patterns"] = f"""{{with}}, g as (select severity, code, count(distinct url) as urls, count(*) as occurrences, min((page_idx, stage, seq)) as f, arg_min(message, (page_idx, stage, seq)) as example_message from iss where not expected group by 1, 2),
       h as (select *, {_CATEGORY} as category, (select count(*) from pg) as n from g where urls > 1),
       s as (select *, case when urls >= 3 and urls / n >= 0.5 and category in ('metadata', 'social', 'multilingual', 'structured-data', 'images') then 'likely-template' when urls = n and n > 1 then 'sitewide' else 'repeated' end as scope from h)
       select code, array_to_string(list_transform(string_split(code, '_'), lambda x: upper(x[1]) || x[2:]), ' ') as title, severity, category, scope, urls, occurrences, example_message,
-        case when scope = 'likely-template' then 'Likely template-level issue. ' else '' end || case category {causes} end as likely_root_cause, f[1] as first_seen
+        case when scope = 'likely-template' then 'At least half of the pages have it. ' else '' end || 'Look first at ' || case category {places} end || '.' as likely_root_cause, f[1] as first_seen
       from s order by case severity when 'error' then 3 when 'warning' then 2 else 1 end desc, urls desc, f limit 20"""
     q["severity_summary"] = f"""{{with}} select count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity = 'info') as infos,
       (select count(*) from pg) as pages, (select count(*) from pg where {_noindex("robots", "x_robots")}) as noindex, (select count(*) from pg where not robots_allowed) as robots_blocked from iss where not expected"""

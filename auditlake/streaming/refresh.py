@@ -20,14 +20,21 @@ def responses_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_stream(responses: DataFrame) -> DataFrame:
-    """Parsed pages of a stream (or table) of responses; bodies over the limit and other types are left out."""
-    html = responses.filter((F.col("status") > 0) & F.contains(F.lower(F.coalesce("content_type", F.lit("text/html"))), F.lit("html")) & (F.octet_length("body") <= MAX_BODY_BYTES))
-    rows = html.select(F.xxhash64("url").alias("page_idx"), "url", "seen_at", F.decode("body", "utf-8").alias("html"))
+    """Parsed pages of a stream (or table) of responses, with status; only what is not html is left out.
+
+    A body over the limit is a failed fetch, as in a crawl: its row has status 0 and what an empty document gives.
+    """
+    html = responses.filter((F.col("status") > 0) & F.contains(F.lower(F.coalesce("content_type", F.lit("text/html"))), F.lit("html")))
+    fits = F.coalesce(F.octet_length("body"), F.lit(0)) <= MAX_BODY_BYTES
+    rows = html.select(F.xxhash64("url").alias("page_idx"), "url", "seen_at", F.when(fits, F.col("status")).otherwise(0).alias("status"), F.when(fits, F.decode("body", "utf-8")).alias("html"))
     return extract_pages(rows).withColumn("url_key", url_key(F.col("url")))
 
 
 def issue_stream(responses: DataFrame) -> DataFrame:
-    return rules.page_issues(page_stream(responses))
+    """Page rules over the pages that were fetched, and fetch_failed for those over the limit."""
+    pages = page_stream(responses)
+    failed = pages.filter("status = 0").select("page_idx", "url", F.lit(rules.FETCH).alias("stage"), F.lit(0).cast("long").alias("seq"), F.lit("fetch_failed").alias("code"), F.lit("error").alias("severity"), F.lit("The page could not be fetched.").alias("message"))
+    return rules.page_issues(pages.filter("status > 0")).unionByName(failed)
 
 
 def latest(pages: DataFrame) -> DataFrame:

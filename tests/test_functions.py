@@ -101,3 +101,15 @@ def test_json_ld():
 def test_empty_and_broken_pages():
     for html in ("", "<", "<title", "plain text", "<p><b>open", "<!-- open", "<a href='/x'>" * 2000):
         assert parse_page("https://e.example/", html)["h1_count"] == 0
+
+
+def test_deep_and_unclosed_pages_parse_in_proportion():
+    import time
+
+    began = time.process_time()
+    deep = parse_page("https://e.example/", "<main>" + "<div>x" * 100_000 + "</b>" * 100_000 + "<a href=/y>y" * 20_000)
+    assert len(deep["visible_text"]) > 200_000 and deep["links"] == ["https://e.example/y"]
+    assert time.process_time() - began < 30
+    odd = parse_page("https://e.example/", "<body><h1>a<h1>b<nav><a href=/n>n</nav>c</h1><main><h2>d</h2>e<main>f</main></main>g<article>h</article>")
+    assert odd["h1"] == ["bnc", "abncdefgh"] and odd["link_details"][0]["location"] == "navigation"
+    assert odd["visible_text"] == "d e f" and odd["fingerprint_text"] == ""  # all of it lies in the heading that stays open

@@ -26,24 +26,27 @@ def decisions(spark, body, urls, agent="Googlebot"):
     return {r.path: (r.robots_allowed, r.matched_rule) for r in robots.decide(u, robots.rules_for(robots.parse(b), agent)).collect()}
 
 
-def test_robots_specific_group_overrides_all(spark):
-    body = "User-agent: *\nDisallow: /private/\nAllow: /private/public/\n\nUser-agent: Googlebot\nDisallow: /blocked/\nAllow: /blocked/preview/\n"
-    got = decisions(spark, body, ["/private/secret", "/blocked/page", "/blocked/preview/item"])
-    assert [got[k][0] for k in ("/private/secret", "/blocked/page", "/blocked/preview/item")] == [True, False, True]
+def test_robots_of_the_named_agent_alone_count(spark):
+    body = "User-agent: Googlebot\nDisallow: /cellar\nAllow: /cellar/wine\n\nUser-agent: *\nAllow: /attic/window\nDisallow: /attic\n"
+    paths = ["/attic/box", "/cellar", "/cellar/wine/red", "/garden"]
+    assert [v[0] for v in decisions(spark, body, paths).values()] == [True, False, True, True]
+    assert [v[0] for v in decisions(spark, body, paths, "otherbot").values()] == [False, True, True, True]
 
 
-def test_robots_patterns(spark):
-    got = decisions(spark, "User-agent: *\nDisallow: /tmp/*\nAllow: /tmp/public$\n", ["/tmp/file", "/tmp/public", "/tmp/public2"])
-    assert got == {"/tmp/file": (False, "/tmp/*"), "/tmp/public": (True, "/tmp/public$"), "/tmp/public2": (False, "/tmp/*")}
-    got = decisions(spark, "User-agent: *\nAllow: /page\nDisallow: /*.htm\n", ["/page.htm", "/a+b(c)"])
-    assert got == {"/page.htm": (False, "/*.htm"), "/a+b(c)": (True, None)}
+def test_robots_longest_pattern_wins(spark):
+    body = "User-agent: *\nDisallow: /shop/*sort=\nDisallow: /shop/a*z$\nAllow: /shop/a\nAllow: /*.csv$\n"
+    got = decisions(spark, body, ["/shop/list?sort=up", "/shop/abz", "/shop/abzy", "/shop/x.csv", "/shop/a?sort=1", "/p(1)+[2]"])
+    assert got == {
+        "/shop/list?sort=up": (False, "/shop/*sort="), "/shop/abz": (False, "/shop/a*z$"), "/shop/abzy": (True, "/shop/a"),
+        "/shop/x.csv": (True, "/*.csv$"), "/shop/a?sort=1": (False, "/shop/*sort="), "/p(1)+[2]": (True, None),
+    }
 
 
 def test_robots_odd_bodies(spark):
-    got = decisions(spark, "Disallow: /x\r\nUser-agent: google # prefix\r\nDisallow:\r\nUser-agent: *\r\nDisallow: /y\r\nCrawl-delay: 1", ["/x", "/y"])
-    assert got == {"/x": (True, None), "/y": (False, "/y")}  # an empty Disallow alone falls back to *
-    assert decisions(spark, "", ["/"]) == {"/": (True, None)}
-    assert decisions(spark, "User-agent: *\nDisallow: /a\nAllow: /a", ["/a?b=1"]) == {"/a?b=1": (True, "/a")}
+    body = "Allow: /early\r\nDisallow: /early\r\nUser-agent: googleb # the start of a name\r\nDisallow:\r\nSitemap: x\r\nUser-agent: *\r\nDisallow: /late # why\r\n"
+    assert decisions(spark, body, ["/early", "/late", "/late/r"]) == {"/early": (True, None), "/late": (False, "/late"), "/late/r": (False, "/late")}  # an empty Disallow alone falls back to *
+    assert decisions(spark, "# nothing", ["/"]) == {"/": (True, None)}
+    assert decisions(spark, "User-agent: *\nDisallow: /tie\nAllow: /tie", ["/tie?x"]) == {"/tie?x": (True, "/tie")}
 
 
 def declarations(spark, *rows):
@@ -129,7 +132,7 @@ def test_patterns(spark):
     p = pages(spark, *[page(i) for i in range(4)])
     got = patterns.patterns(issues(spark, *[(i, "description_missing", "warning", "m", False) for i in range(4)], (0, "canonical_missing", "warning", "m", False), (0, "http_error", "error", " ", False), (1, "http_error", "error", "second", False)), p).collect()
     assert [(r.code, r.urls, r.scope) for r in got] == [("http_error", 2, "repeated"), ("description_missing", 4, "likely-template")]
-    assert got[0].example_message == "second" and got[1].likely_root_cause.startswith("Likely template-level issue") and got[1].title == "Description Missing"
+    assert got[0].example_message == "second" and got[1].likely_root_cause.startswith("At least half of the pages have it. Look first at ") and got[1].title == "Description Missing"
 
 
 def test_staging(spark):
@@ -239,3 +242,11 @@ def test_page_queries_read_pages_of_any_length(spark, tmp_path):
     q = {k: catalog.queries()[k](spark, str(tmp_path)).collect() for k in ("page_title_rules", "page_lang_tally", "page_facts", "page_issue_counts")}
     assert [(r.page_idx, r.code) for r in q["page_title_rules"]] == [(1, "title_short")] and [(r.lang, r.pages) for r in q["page_lang_tally"]] == [("en", 2)]
     assert {r.page_idx: r.word_count for r in q["page_facts"]} == {0: 2, 1: 600_001} and {r.code: r.pages for r in q["page_issue_counts"]}["canonical_missing"] == 2
+
+
+def test_click_depth_has_no_limit(spark):
+    """A path of 60 pages, with a shorter way to one of them, a cycle, and pages out of reach."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(60, 0), (0, 10), (5, 5), (70, 71), (0, 1)], "src long, dst long")
+    got = {r.page_idx: r.depth for r in links.crawl_depth(edges, 0).collect()}
+    assert got == {k: min(k, k - 9 if k >= 10 else k) for k in range(61)}
+    assert [tuple(r) for r in links.crawl_depth(edges.limit(0), 3).collect()] == [(3, 0)]
