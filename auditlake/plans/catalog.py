@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import text as tx
 from auditlake.functions import urls
 from auditlake.functions.html import extract_pages
-from auditlake.operators import crosspage, diff, history, hreflang, insights, links, origin, patterns, robots, rules, sitemap
+from auditlake.operators import crosspage, diff, history, hreflang, insights, links, origin, patterns, robots, rules, sitemap, social
 from auditlake.plans import derived as d
 
 ROOT = "https://site.example"
@@ -61,6 +61,72 @@ def page_issue_counts(spark, sf):
     return rules.page_issues(parsed_pages(spark, sf)).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("pages"))
 
 
+def visible_word_count(spark, sf):
+    """Words that a page shows, and a digest of its text without headings, which content hashes are taken of."""
+    p = parsed_pages(spark, sf)
+    return p.select("page_idx", "word_count", "fingerprint_words", F.sha2(F.regexp_replace("fingerprint_text", r"\s+", ""), 256).alias("text_sha256"))
+
+
+def _rich(spark, sf):
+    return extract_pages(d.derive(spark, sf, d.RICH))
+
+
+def html_extract(spark, sf):
+    """All scalar facts of documents whose contents are known by rule."""
+    joined = lambda c: F.array_join(c, "|")
+    return _rich(spark, sf).select(
+        "page_idx", "title", "description", "robots", "lang", "canonical", "canonical_raw", F.col("canonical_count").cast("long"), F.col("h1_count").cast("long"), joined("h1").alias("h1"), F.col("h2_count").cast("long"),
+        *[F.col(c).cast("long") for c in ("images_total", "images_missing_alt", "images_empty_alt", "jsonld_scripts", "jsonld_parseable", "jsonld_invalid")], joined("jsonld_types").alias("jsonld_types"),
+        "og_title", "og_description", "og_image", "og_url", "twitter_card", "twitter_title", "twitter_description", "twitter_image", "word_count", "detected_lang", F.size("links").cast("long").alias("links"),
+    )
+
+
+def html_links(spark, sf):
+    return _rich(spark, sf).select("page_idx", F.inline("link_details"))
+
+
+def html_hreflangs(spark, sf):
+    return _rich(spark, sf).select("page_idx", F.posexplode("hreflangs").alias("pos", "h")).select("page_idx", F.col("pos").cast("long"), "h.lang", "h.href", "h.source")
+
+
+def html_rule_issues(spark, sf):
+    """Page rules over documents whose faults are known by rule."""
+    return rules.page_issues(_rich(spark, sf)).select("page_idx", "code", "severity")
+
+
+def jsonld_findings(spark, sf):
+    return _rich(spark, sf).select("page_idx", F.inline("jsonld_issues")).select("page_idx", "code", "severity")
+
+
+def http_link_hreflangs(spark, sf):
+    return hreflang.from_http(d.derive(spark, sf, d.LINK_HEADERS)).select("page_idx", "pos", "lang", "href", "source")
+
+
+def sitemap_parse(spark, sf):
+    return sitemap.parse(d.derive(spark, sf, d.SITEMAP_BODIES))
+
+
+def sitemap_locations(spark, sf):
+    """Distinct locations of all sitemaps, as a crawl takes them over, in fair order."""
+    found = sitemap.parse(d.derive(spark, sf, d.SITEMAP_BODIES)).filter("kind = 'urlset'")
+    return sitemap.locations(found.withColumn("pos", F.regexp_extract("url", r"(\d+)", 1).cast("long") * 10 + F.col("pos")))
+
+
+def _image_pages(spark, sf):
+    return _rich(spark, sf).select("page_idx", "url", "og_image", "twitter_image")
+
+
+def social_images(spark, sf):
+    return social.image_issues(_image_pages(spark, sf), d.derive(spark, sf, d.IMAGE_ANSWERS)).select("page_idx", "code", "severity", "message")
+
+
+def social_image_coverage(spark, sf):
+    """Distinct social images of the pages, and how many of them a report checks."""
+    p = _image_pages(spark, sf)
+    found, wanted = social.discovered(p).agg(F.count(F.lit(1)).alias("discovered")), social.wanted(p).agg(F.count(F.lit(1)).alias("checked"), F.min("url").alias("first_url"))
+    return found.crossJoin(wanted)  # one row by one row
+
+
 def url_normalize(spark, sf):
     p = _t(spark, sf, "pages").select("page_id", "url").withColumn("url_key", urls.url_key(F.col("url")))
     return p.select("page_id", "url_key", urls.origin(F.col("url_key")).alias("origin"))
@@ -319,6 +385,7 @@ def history_listing(spark, sf):
 
 
 _QUERIES = [
+    visible_word_count, html_extract, html_links, html_hreflangs, html_rule_issues, jsonld_findings, http_link_hreflangs, sitemap_parse, sitemap_locations, social_images, social_image_coverage,
     page_title_rules, page_lang_tally, page_facts, page_issue_counts, url_normalize, url_dedup, locale_interleave, duplicate_titles, duplicate_issues, content_hash_groups, doc_word_count, language_detect,
     lang_mismatch, robots_parse, robots_decision, hreflang_code_validity, link_degree, contextual_links, links_to_redirects, broken_links, link_issues, uncrawled_targets, crawl_depth, redirect_chains,
     canonical_checks, hreflang_reciprocity, hreflang_relations, hreflang_counts, hreflang_conflicts, hreflang_merge, sitemap_coverage, sitemap_issues, orphans, indexability, fetch_issues, origin_preference,

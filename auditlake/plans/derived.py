@@ -94,6 +94,68 @@ union all select page_idx, url, 7, cast(0 as bigint), 'broken_internal_link', 'e
 """
 ISSUES = ISSUES.replace("{page}", PAGES)
 
+#: Documents made by rule, so that what they say is known without parsing them: the SQL of their queries counts residues, not tags.
+_JSONLD = "translate('{}', '<>', concat(chr(123), chr(125)))"  # braces mean parameters in these texts
+_SCRIPT = """concat('<script type="application/ld+json">', {}, '</script>')"""
+
+
+def _ld(body: str) -> str:
+    return _SCRIPT.format(_JSONLD.format(body))
+
+
+RICH = f"""
+select page_id as page_idx, {URL.format("page_id")} as url, {URL.format("page_id")} as url_key, concat(
+  case when page_id % 9 = 4 then '<html><head>' else concat('<html lang="', case page_id % 4 when 0 then 'en' when 1 then 'de-AT' when 2 then 'fr' else ' es ' end, '"><head>') end,
+  case page_id % 12 when 5 then '' when 7 then '<title> </title>' when 1 then concat('<TITLE>Tiny &amp; ', cast(page_id as string), '</TITLE>')
+    when 2 then concat('<title>', repeat('long words ', 7), cast(page_id as string), '</title><title>second</title>') else concat('<title>A page title of usual  length ', cast(page_id as string), chr(10), '</title>') end,
+  case page_id % 10 when 0 then '' when 1 then '<meta name="Description" content=" Short. ">' when 2 then concat('<meta name="description" content="', repeat('far too long ', 14), '">')
+    else concat('<meta content="', repeat('a fitting line ', 6), cast(page_id as string), '" name="description">') end,
+  case when page_id % 13 = 4 then '<meta name="robots" content="NoIndex, follow">' else '' end,
+  case when page_id % 23 = 2 then '' when page_id % 23 = 3 then concat('<link rel="canonical" href="/p/', cast(page_id as string), '"><link rel="canonical" href="/other">')
+    when page_id % 23 = 5 then '<link rel="canonical" href="">' when page_id % 23 = 6 then '<link rel="canonical" href="javascript:void(0)">'
+    when page_id % 23 between 7 and 9 then concat('<link rel="nofollow Canonical" href="', cast(page_id + 1 as string), '">') else concat('<link rel="canonical" href="?utm_source=x#top">') end,
+  case page_id % 5 when 0 then concat('<link rel="alternate" hreflang="EN" href=""><link rel="alternate" hreflang="en" href="/p/', cast(page_id as string), '"><link rel="alternate" hreflang="de" href="/p/', cast(page_id + 1 as string), '"><link rel="alternate" hreflang="x-default" href="/p/0">')
+    when 1 then concat('<link rel="alternate" hreflang="en" href="', cast(page_id as string), '"><link rel="alternate" hreflang="en" href="/p/', cast(page_id + 2 as string), '"><link rel="alternate" hreflang="xx" href="/p/', cast(page_id + 3 as string), '">')
+    when 2 then concat('<link rel="alternate" hreflang="de" href="/p/', cast(page_id + 1 as string), '">') else '<link rel="alternate" href="/feed">' end,
+  case page_id % 8 when 0 then '' when 1 then '<meta property="og:title" content="Only a title">'
+    else concat('<meta property="og:title" content="T ', cast(page_id as string), '"><meta property="og:description" content="D"><meta property="og:image" content="/img/', cast(page_id % 40 as string), '.png"><meta property="og:url" content="/og">') end,
+  case when page_id % 6 < 3 then concat('<meta name="twitter:card" content="summary"><meta name="twitter:title" content="TT"><meta name="twitter:image" content="/img/t', cast(page_id % 30 as string), '.png">') else '' end,
+  case page_id % 9 when 1 then {_ld('<"a":')} when 2 then {_ld('<"@context":"https://schema.org","@type":"Product","sku":"1">')} when 3 then {_ld('<"@context":"https://schema.org","@type":"Product","name":"n","offers":<"@type":"Offer">>')}
+    when 4 then {_ld('<"@context":"https://schema.org","@type":"BreadcrumbList">')} when 5 then {_ld('<"@type":"Person","name":"n">')} when 6 then {_ld('<"@context":"https://schema.org","name":"n">')}
+    when 7 then concat({_ld('<"@context":"https://schema.org","@graph":[<"@type":"Organization">,<"@type":["WebSite","Thing"]>]>')}, {_ld('[1,')}) when 8 then {_ld('[<"@context":"https://schema.org","@type":"Event">,<"@type":"Place">]')} else '' end,
+  '</head><body><nav><a href="/p/', cast(page_id + 1 as string), '">Next &raquo;</a><a href="https://elsewhere.example/?b=2&amp;a=1">Else</a><a href="mailto:a@b.example">Mail</a></nav><main>',
+  case page_id % 6 when 0 then '' when 1 then concat('<h1>First</h1><h1>Second <b>', cast(page_id as string), '</b></h1>') else concat('<h1> Heading <b>no</b> ', cast(page_id as string), '</h1>') end,
+  repeat('<h2>Part</h2>', cast(page_id % 4 as int)), '<script>var hidden = 1;</script><style>b</style><p>',
+  case page_id % 3 when 0 then repeat('some words ', 10) when 1 then repeat('the and to of in is for on with that ', 7) else repeat('der die das und ist zu den von mit von ', 7) end,
+  '<a href="', cast(page_id * 2 as string), '#part">twice</a> <a href="/p/', cast(page_id * 2 as string), '">again</a> <a href="/file.pdf">file</a></p>',
+  case when page_id % 7 > 0 then '<img src="/0.png" alt="x">' else '' end, case when page_id % 7 > 1 then '<img src="/1.png">' else '' end, case when page_id % 7 > 2 then '<img src="/2.png" alt=" ">' else '' end,
+  case when page_id % 7 > 3 then '<img src="/3.png" alt="x">' else '' end, case when page_id % 7 > 4 then '<img src="/4.png">' else '' end, case when page_id % 7 > 5 then '<img src="/5.png" alt="">' else '' end,
+  '</main><footer>Small print <a href="/p/0">Home</a></footer></body></html>') as html
+from {{pages}}
+"""
+
+LINK_HEADERS = f"""
+select page_id as page_idx, {URL.format("page_id")} as url,
+  case page_id % 5 when 0 then null when 1 then concat('</p/', cast(page_id as string), '>; rel="alternate"; hreflang="EN", <https://site.example/p/', cast(page_id + 1 as string), '?utm_medium=x>; rel=alternate; hreflang=de')
+    when 2 then '</style.css>; rel="preload"; as="style"' when 3 then '</a>; hreflang="fr"; rel="alternate nofollow", </b>; rel="alternate"' else concat('<', cast(page_id + 2 as string), '>; rel="canonical", </c>; rel="Alternate"; hreflang="x-default"') end as link_header
+from {{pages}}
+"""
+
+SITEMAP_BODIES = f"""
+select concat('https://site.example/sitemaps/', cast(page_id as string), '.xml') as url, cast(case page_id % 7
+  when 0 then concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://site.example/sitemaps/', cast(page_id + 1 as string), '.xml</loc></sitemap></sitemapindex>')
+  when 1 then '<urlset><url><loc>broken' when 2 then '<feed><url><loc>https://site.example/</loc></url></feed>' when 3 then '<urlset></urlset>'
+  when 4 then concat('<urlset xmlns:xhtml="http://www.w3.org/1999/xhtml"><url><loc> /p/', cast(page_id as string), ' </loc><xhtml:link rel="alternate" hreflang="DE" href="/p/', cast(page_id + 1 as string), '"/><xhtml:link rel="stylesheet" hreflang="fr" href="/x"/></url></urlset>')
+  else concat('<?xml version="1.0"?><urlset><url><loc>https://site.example/p/', cast(page_id as string), '?utm_source=s</loc></url><url><lastmod>2024-01-01</lastmod></url><url><loc>mailto:x@y.example</loc></url><url><loc>/p/', cast(page_id + 2 as string), '</loc></url></urlset>') end as {{binary}}) as body
+from {{pages}}
+"""
+
+IMAGE_ANSWERS = """
+select concat(concat('https://site.example/img/', case when k.t = 1 then 't' else '' end), concat(cast(n.page_id as string), '.png')) as url,
+  case n.page_id % 5 when 0 then 200 when 1 then 404 when 2 then 301 when 3 then 0 else 200 end as status, case when n.page_id % 5 = 4 then 'text/html' when n.page_id % 5 = 3 then null else 'Image/PNG' end as content_type
+from (select page_id from {pages} where page_id < 40) n cross join (values (0), (1)) k(t) where k.t = 0 or n.page_id < 30
+"""
+
 #: Two audits of one site: what the second one lost, gained and changed follows from the residues.
 PREVIOUS_PAGES = f"select page_idx, url, status, robots_allowed, case when page_idx % 8 = 1 then 'not-indexable' else 'indexable' end as indexability, canonical, title, description, array(title) as h1 from ({PAGES}) p where page_idx % 10 <> 1"
 CURRENT_PAGES = f"""select page_idx, url, status, robots_allowed, case when page_idx % 16 = 1 then 'not-indexable' else 'indexable' end as indexability,
@@ -121,8 +183,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A relation of this module as a DataFrame over the tables in `sf_dir`."""
     names = {n: table(spark, sf_dir, n) for n in ("pages", "events") if "{" + n + "}" in sql}
-    return spark.sql(sql, **names)
+    return spark.sql(sql.replace("{binary}", "binary"), **names)
 
 
 def duck(sql: str) -> str:
-    return sql.format(pages="pages", events="events").replace("array(", "list_value(")
+    return sql.format(pages="pages", events="events", binary="blob").replace("array(", "list_value(")

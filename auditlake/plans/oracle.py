@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from auditlake.functions.text import LANGUAGES, STOPWORDS, countries
 from auditlake.plans import derived as d
+from auditlake.plans import oracle_pages
 
 
 def _noindex(*columns: str) -> str:
@@ -279,4 +280,4 @@ def sql() -> dict[str, str]:
             out[name] = f"with {ctes}{body}"
         else:
             out[name] = f"with {ctes} {body}"
-    return out
+    return out | oracle_pages.sql(_language)
