@@ -266,12 +266,8 @@ def _parse(names: list[str], schema: pa.Schema):
     return run
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Parsed pages: the columns of `pages` but for html, what the document says, and text measures.
-
-    Every row is parsed whole. MAX_BODY_BYTES is a rule of the fetch, not of the parser: plans.crawl and streaming.refresh
-    apply it before they come here. Null html parses as empty.
-    """
+def parse_documents(pages: DataFrame) -> DataFrame:
+    """The columns of `pages` but for html, and what the documents say."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -280,8 +276,20 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     schema = pages.select(*names).schema
     for f in fields:
         schema = schema.add(f)
-    rows = pages.select(*names, F.col("html").cast("string").alias("html"))
-    parsed = rows.mapInArrow(_parse(names, to_arrow_schema(fields)), schema)
+    return pages.select(*names, F.col("html").cast("string").alias("html")).mapInArrow(_parse(names, to_arrow_schema(fields)), schema)
+
+
+def measured(parsed: DataFrame) -> DataFrame:
+    """Parsed documents with text measures: words, content hash, language."""
     parsed = parsed.withColumn("word_count", tx.word_count(F.col("visible_text"))).withColumn("fingerprint_words", tx.word_count(F.col("fingerprint_text")))
-    parsed = parsed.withColumn("content_hash", tx.content_hash(F.col("fingerprint_text")))
+    parsed = parsed.withColumn("content_hash", tx.content_hash(F.col("fingerprint_text"))).withColumn("content_hash_status", tx.content_hash_status(F.col("fingerprint_words")))
     return tx.detect_language(parsed, "visible_text")
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """Parsed pages: the columns of `pages` but for html, what the document says, and text measures.
+
+    Every row is parsed whole. MAX_BODY_BYTES is a rule of the fetch, not of the parser: plans.crawl and streaming.refresh
+    apply it before they come here. Null html parses as empty.
+    """
+    return measured(parse_documents(pages))

@@ -55,6 +55,11 @@ def content_hash(x: Column) -> Column:
     return F.when(word_count(x) >= FINGERPRINT_WORDS, F.sha2(normalized(x), 256))
 
 
+def content_hash_status(words: Column) -> Column:
+    """Fixed text: whether a content hash was made of that many words, and if not, why."""
+    return F.when(words >= FINGERPRINT_WORDS, "available").otherwise(F.concat(F.lit("not generated ("), words.cast("string"), F.lit(f" fingerprint words; minimum {FINGERPRINT_WORDS})")))
+
+
 def language_base(code: Column) -> Column:
     return F.lower(F.split_part(code, F.lit("-"), F.lit(1)))
 

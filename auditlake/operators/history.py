@@ -41,10 +41,39 @@ def active(runs: DataFrame, now: Column) -> DataFrame:
     return n.withColumn("admits", F.col("active") < ACTIVE_LIMIT)
 
 
+def validate(requests: DataFrame, most_pages: int = 1000) -> DataFrame:
+    """`requests` (url, max_pages, environment) with `url` as it would be audited and `faults`, empty where a request is valid.
+
+    Without a page limit 25 pages are audited, without an environment the live one. `most_pages` is 100 for audits that a caller waits for.
+    """
+    url = F.trim(F.coalesce("url", F.lit("")))
+    faults = F.array_compact(
+        F.array(
+            F.when(url == "", "url required"),
+            F.when(F.length("url") > 2048, "url too long"),
+            F.when(~F.coalesce("max_pages", F.lit(25)).between(1, most_pages), "max_pages out of range"),
+            F.when(~F.coalesce("environment", F.lit("live")).isin("live", "staging"), "environment unknown"),
+        )
+    )
+    return requests.withColumns({"faults": faults, "url": F.when(url.rlike(r"(?i)^https?://"), url).otherwise(F.concat(F.lit("https://"), url))})
+
+
+UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+
+
+def saved(runs: DataFrame, audit_id: str, previous_id: str | None, now: Column) -> DataFrame:
+    """place (current or previous) and the completed runs of a link to a saved audit; ids of another shape than a UUID find nothing."""
+    wanted = [(i, place) for i, place in ((audit_id, "current"), (previous_id, "previous")) if i]
+    both = runs.sparkSession.createDataFrame(wanted, "_id string, place string").filter(F.col("_id").rlike(UUID))
+    return runs.join(F.broadcast(both), runs["id"] == both["_id"]).filter((F.col("status") == "completed") & (F.col("expires_at") > now)).drop("_id")  # two rows
+
+
 def admit(runs: DataFrame, run_id: str, url: str, environment: str, max_pages: int, now: Column) -> DataFrame:
     """`runs` with a queued run added, if fewer than five are active."""
-    if not 0 < len(url) <= 2048 or environment not in ("live", "staging") or not 1 <= max_pages <= 1000:
-        raise ValueError("url of 1 to 2048 characters, live or staging, 1 to 1000 pages")
+    asked = validate(runs.sparkSession.createDataFrame([(url, max_pages, environment)], "url string, max_pages int, environment string")).head()
+    if asked.faults:
+        raise ValueError(", ".join(asked.faults))
+    url = asked.url
     new = active(runs, now).filter("admits").select(
         F.lit(run_id).alias("id"), F.lit(url).alias("url"), F.lit(environment).alias("environment"), F.lit(max_pages).alias("max_pages"), F.lit(0).alias("pages_done"), F.lit("queued").alias("status"),
         F.lit(None).cast("string").alias("error"), (now + F.expr(f"interval {KEEP_DAYS} days")).alias("expires_at"), now.alias("created_at"), now.alias("updated_at"),
@@ -70,3 +99,16 @@ def advance(runs: DataFrame, run_id: str, status: str, now: Column, pages_done:
 def split_expired(runs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Runs to keep, and runs to prune with their archives."""
     return runs.filter(F.col("expires_at") > now), runs.filter(F.col("expires_at") <= now)
+
+
+def prune(runs: DataFrame, now: Column, archive: str = "archive_path") -> DataFrame:
+    """The runs to keep; the archives of the others are deleted first, so that a run never names one that is gone half-way.
+
+    Paths reach the driver one partition at a time, and any file system that Spark knows can hold them.
+    """
+    kept, gone = split_expired(runs, now)
+    spark = runs.sparkSession
+    for row in gone.filter(F.col(archive).isNotNull()).select(archive).distinct().toLocalIterator():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return kept

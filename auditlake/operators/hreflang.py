@@ -22,6 +22,11 @@ def merge(declarations: DataFrame) -> DataFrame:
     return g.select("page_idx", F.col("first.pos").alias("pos"), "lang", F.col("first.href").alias("href"), "href_key", F.array_join(F.array_distinct(F.transform("all", lambda x: x["source"])), "+").alias("source"))
 
 
+def codes(declarations: DataFrame) -> DataFrame:
+    """One row: the distinct codes that are declared, in order."""
+    return declarations.select(F.lower("lang").alias("lang")).distinct().agg(F.array_join(F.sort_array(F.collect_list("lang")), ",").alias("hreflang_codes"))
+
+
 def _targets(pages: DataFrame, prefix: str = "t_") -> DataFrame:
     t = page_index(pages, "status", "robots", "x_robots", "canonical_key", "lang")
     return t.select(*[F.col(c).alias(prefix + c) for c in t.columns])

@@ -96,8 +96,28 @@ DRILLDOWNS = {
 }
 
 
-def drill_down(pages: DataFrame, metric: str) -> DataFrame:
-    return pages.filter(F.expr(DRILLDOWNS[metric]))
+def page_metrics(pages: DataFrame, issues: DataFrame) -> DataFrame:
+    """`pages` with what the drill-downs ask for: errors, warnings, infos (without expected findings), noindex, duplicate."""
+    counted = issues.filter(~F.coalesce("expected", F.lit(False))).groupBy("page_idx")
+    n = counted.agg(*[F.count_if(F.col("severity") == s).alias(c) for s, c in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))], F.max(F.col("code").rlike("^(title|description|content)_duplicate")).alias("duplicate"))
+    both = pages.join(n, "page_idx", "left")
+    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("errors", "warnings", "infos")} | {"duplicate": F.coalesce("duplicate", F.lit(False)), "noindex": tx.is_noindex(F.col("robots"), F.col("x_robots"))})
+
+
+def drill_down(metrics: DataFrame, metric: str) -> DataFrame:
+    """Pages (see page_metrics) that a drill-down shows."""
+    return metrics.filter(F.expr(DRILLDOWNS[metric]))
+
+
+def drill_down_counts(metrics: DataFrame) -> DataFrame:
+    """metric, pages of all drill-downs that show a page, in one pass."""
+    held = F.array_compact(F.array(*[F.when(F.expr(c), m) for m, c in DRILLDOWNS.items()]))
+    return metrics.select(F.explode(held).alias("metric")).groupBy("metric").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def largest_groups(groups: DataFrame, most: int = 20) -> DataFrame:
+    """The groups that a report shows (see metadata_groups): the largest first; `most` is the report's limit."""
+    return groups.orderBy(F.col("pages").desc(), F.col("field").desc(), "text_key").limit(most)
 
 
 def coverage_cards(pages: DataFrame, sitemap_targets: DataFrame) -> DataFrame:

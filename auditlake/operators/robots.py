@@ -68,3 +68,8 @@ def decide(pages: DataFrame, rules: DataFrame, site: str = "site", url: str = "u
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["specificity"], (r["directive"] == "allow").alias("allow"), (-r["pos"]).alias("first"), r["directive"].alias("directive"), r["pattern"].alias("pattern"))))
     df = df.withColumn("_best", best)
     return df.withColumns({"robots_allowed": F.coalesce(F.col("_best.allow"), F.lit(True)), "matched_directive": F.col("_best.directive"), "matched_rule": F.col("_best.pattern")}).drop("_best", "_target", "_site", "rules")
+
+
+def counts(groups: DataFrame) -> DataFrame:
+    """site, groups, rules of parsed robots.txt files (see parse); a file without groups has no row."""
+    return groups.groupBy("site").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.size("rules")).cast("long").alias("rules"))

@@ -11,8 +11,10 @@ from auditlake.functions import text as tx
 from auditlake.functions import urls
 from auditlake.functions.html import MAX_BODY_BYTES
 from auditlake.functions.urls import normalize
-from auditlake.operators import crosspage, hreflang, links, origin, patterns, rules, social
+from auditlake.operators import crosspage, hreflang, links, origin, patterns, robots, rules, social
 from auditlake.plans import crawl as cr
+from auditlake.scratch import Scratch
+from auditlake.sources import reports
 from auditlake.sources.responses import lookup
 
 
@@ -24,7 +26,10 @@ class Audit:
             raise ValueError("environment is live or staging")
         self.spark, self.responses, self.environment = spark, responses, environment
         self.crawl = cr.crawl(spark, responses, start_url, max_pages, progress)
-        self.rel = cr.relations(spark, self.crawl)
+        self.scratch = Scratch(spark, "audit")
+        # what many checks read is written once: their plans stay small, and so does what a lost executor costs
+        made = cr.relations(spark, self.crawl)
+        self.rel = made | {k: self.scratch.keep(made[k]) for k in ("pages", "documents", "links")}
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -35,7 +40,7 @@ class Audit:
     def followed(self) -> dict[str, dict]:
         """The first of the candidates, by URL: the last response, without its body, final_url and chain."""
         urls = [r.href for r in self.candidates.orderBy("at").limit(links.MOST_TARGETS).select("href").collect()]  # fifty at most
-        return cr.Responses(self.spark, self.responses.withColumn("body", F.lit(None).cast("binary"))).follow(urls)
+        return cr.Responses(self.spark, self.responses).follow(urls)
 
     @cached_property
     def redirects(self) -> DataFrame:
@@ -48,7 +53,7 @@ class Audit:
     def effective(self) -> DataFrame:
         same = self.rel["links"].filter(urls.origin(F.col("href")) == self.crawl.origin)
         mixed = self.rel["links"].filter((urls.host(F.col("href")) == urls.host(F.lit(self.crawl.origin))) & (urls.origin(F.col("href")) != self.crawl.origin))
-        return links.effective(same.unionByName(mixed), self.redirects)
+        return self.scratch.keep(links.effective(same.unionByName(mixed), self.redirects))
 
     @cached_property
     def checks(self) -> DataFrame:
@@ -58,13 +63,13 @@ class Audit:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return crosspage.sitemap_targets(self.rel["sitemap"], self.redirects, self.rel["pages"])
+        return self.scratch.keep(crosspage.sitemap_targets(self.rel["sitemap"], self.redirects, self.rel["pages"]))
 
     @cached_property
     def metrics(self) -> DataFrame:
         index = links.page_index(self.rel["pages"]).select(F.col("url_key").alias("eff"), F.col("page_idx").alias("dst"))
         edges = self.effective.select(F.col("page_idx").alias("src"), "eff").join(index, "eff").select("src", "dst")
-        return links.degrees(self.rel["pages"], self.effective).join(links.crawl_depth(edges, 0), "page_idx", "left")
+        return self.scratch.keep(links.degrees(self.rel["pages"], self.effective).join(links.crawl_depth(edges, 0), "page_idx", "left"))
 
     @cached_property
     def preferred(self) -> dict:
@@ -73,20 +78,20 @@ class Audit:
         return row.asDict() if row else {"origin": self.crawl.origin, "source": "crawl-origin", "confidence": None}
 
     def pages(self) -> DataFrame:
+        return self._pages
+
+    @cached_property
+    def _pages(self) -> DataFrame:
         p = rules.indexability(self.rel["pages"], self.preferred["origin"])
         listed = self.targets.filter("page_idx is not null").select("page_idx", F.lit(True).alias("in_sitemap")).distinct()
-        return p.join(self.metrics, "page_idx", "left").join(listed, "page_idx", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False)))
+        return self.scratch.keep(p.join(self.metrics, "page_idx", "left").join(listed, "page_idx", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False))))
 
     @cached_property
     def parsed(self) -> DataFrame:
         """Parsed rows of the pages that gave a document, with the hreflangs as merged by the crawl."""
-        from auditlake.functions.html import extract_pages
-
-        own = self.rel["pages"].filter("error is null").select("page_idx", "url", "url_key", "requested_url")
-        body = lookup(own.select("page_idx", F.col("url").alias("page_url"), "url_key", "url"), self.responses).withColumn("html", F.decode("body", "utf-8"))
-        out = extract_pages(body.select("page_idx", F.col("page_url").alias("url"), "url_key", "html")).drop("hreflangs")
+        out = self.rel["documents"].drop("hreflangs", "requested_url")
         h = self.rel["hreflangs"].groupBy("page_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lang", "href", "source"))), lambda x: F.struct(x["lang"].alias("lang"), x["href"].alias("href"), x["source"].alias("source"))).alias("hreflangs"))
-        return out.join(h, "page_idx", "left").withColumn("hreflangs", F.coalesce("hreflangs", F.array().cast("array<struct<lang:string,href:string,source:string>>")))
+        return self.scratch.keep(out.join(h, "page_idx", "left").withColumn("hreflangs", F.coalesce("hreflangs", F.array().cast("array<struct<lang:string,href:string,source:string>>"))))
 
     @cached_property
     def images(self) -> DataFrame:
@@ -94,7 +99,7 @@ class Audit:
         reached = F.col("error").isNull() & urls.public_target("url")
         got = lookup(social.wanted(self.parsed, social.MOST_IMAGES), self.responses).withColumns({"status": F.when(reached, F.col("status")).otherwise(0), "content_type": F.when(reached, F.col("content_type"))})
         got = got.withColumn("size", F.when(F.lower("content_type").startswith("image/") & (F.octet_length("body") <= MAX_BODY_BYTES), social.dimensions("body")))
-        return got.select("url", "status", "content_type", "size.width", "size.height")
+        return self.scratch.keep(got.select("url", "status", "content_type", "size.width", "size.height"))
 
     @cached_property
     def _issues(self) -> DataFrame:
@@ -107,8 +112,7 @@ class Audit:
             hreflang.target_issues(pages, self.rel["hreflangs"]), crosspage.sitemap_issues(self.targets), crosspage.orphan_issues(self.targets, self.metrics), hreflang.relation_issues(pages, self.rel["hreflangs"]),
         ]
         out = reduce(DataFrame.unionByName, parts).dropDuplicates(["page_idx", "code", "message"])
-        links.checkpointed(self.spark)
-        return out.checkpoint()
+        return self.scratch.keep(out)
 
     def issues(self) -> DataFrame:
         out = self._issues
@@ -153,8 +157,20 @@ class Audit:
     def patterns(self) -> DataFrame:
         return patterns.patterns(self.issues(), self.rel["pages"])
 
+    @cached_property
+    def image_coverage(self) -> DataFrame:
+        """One row: social images that the pages name, and those of them that were checked."""
+        found = social.discovered(self.parsed).agg(F.count(F.lit(1)).alias("social_images_discovered"))
+        return found.crossJoin(self.images.agg(F.count(F.lit(1)).alias("social_images_checked")))  # one row by one row
+
+    @cached_property
+    def robots(self) -> DataFrame:
+        """One row: groups and rules of robots.txt."""
+        body = self.spark.createDataFrame([("site", self.crawl.robots_body)], "site string, body string")
+        return robots.counts(robots.parse(body)).agg(F.coalesce(F.sum("groups"), F.lit(0)).alias("robots_groups"), F.coalesce(F.sum("rules"), F.lit(0)).alias("robots_rules"))
+
     def summary(self) -> DataFrame:
-        """One row of counts over pages, issues, links and the sitemap."""
+        """One row of counts over pages, issues, links, images, the sitemap and the environment."""
         p, i = self.pages(), self.issues()
         by_state = p.agg(
             F.count(F.lit(1)).alias("pages"), F.count_if(F.col("indexability") == "indexable").alias("indexable"), F.count_if(F.col("indexability") == "host-alias").alias("host_alias"),
@@ -165,9 +181,49 @@ class Audit:
             F.count_if(F.col("code") == "orphan_candidate").alias("orphans"), F.count_if("expected").alias("expected_findings"),
             F.count_distinct(F.when(F.col("code").startswith("content_duplicate"), F.col("message"))).alias("duplicate_content"),
         )
+        codes = hreflang.codes(self.rel["hreflangs"])
         r = self.redirects.agg(F.count(F.lit(1)).alias("redirects"), F.count_if(F.col("hops") > 1).alias("redirect_chains"))
         e = self.effective.agg(F.count_if(F.col("hops").isNotNull()).alias("links_to_redirects"))
-        parts = [patterns.severity_counts(i), by_state, n, r, e, self.coverage()]
+        m = links.mixed_scheme(self.effective, self.rel["pages"]).agg(F.coalesce(F.sum("mixed"), F.lit(0)).alias("mixed_scheme_links"))
+        held = self.protection().select(F.col("protected").alias("staging_protected"), F.col("unprotected").alias("staging_unprotected"), F.col("status").alias("protection"))
+        sizes = self.spark.range(1).select(F.lit(self.site_issues().count()).alias("site_issues"), F.lit(len(self.followed)).alias("link_targets_checked"), F.lit(self.patterns().count()).alias("patterns"))
+        parts = [patterns.severity_counts(i), by_state, n, codes, r, e, m, self.coverage(), self.image_coverage, self.robots, held, sizes]
         return reduce(DataFrame.crossJoin, parts)  # every part is one row
 
-
+    def export(self, generated_at: str) -> DataFrame:
+        """The records of a CSV export (see sources.reports): the site, patterns, origins, redirects, link checks, pages."""
+        q = lambda **names: [F.col(c).alias(n.replace("_", " ") if n[0].isupper() else n) for n, c in names.items()]
+        c, p = F.col, self.pages().alias("p")
+        at = {"Audit generated at": F.lit(generated_at), "Environment": F.lit(self.environment)}
+        said = self.parsed.select(
+            "page_idx", *q(H1_count="h1_count", H2_count="h2_count", Word_count="word_count", Image_count="images_total", Images_missing_alt="images_missing_alt", Images_empty_alt="images_empty_alt", OG_title="og_title", OG_description="og_description", OG_image="og_image",
+                OG_URL="og_url", Twitter_card="twitter_card", Twitter_title="twitter_title", Twitter_description="twitter_description", Twitter_image="twitter_image", Content_hash="content_hash", Content_hash_status="content_hash_status",
+                Detected_lang="detected_lang", Language_confidence="confidence"),
+            c("jsonld_scripts").alias("JSON-LD blocks"), c("jsonld_parseable").alias("JSON-LD parseable"), c("jsonld_invalid").alias("JSON-LD syntax invalid"), F.array_join("jsonld_types", " | ").alias("JSON-LD types"), F.array_join("h1", " | ").alias("H1 text"),
+            F.array_join(F.transform("jsonld_issues", lambda x: x["message"]), " | ").alias("JSON-LD semantic findings"), *[F.array_join(F.transform("hreflangs", lambda h: h[f]), " | ").alias(n) for f, n in (("lang", "Hreflang codes"), ("href", "Hreflang targets"), ("source", "Hreflang sources"))],
+        )
+        found = cr.discovery_of(self.rel["pages"], self.rel["discovery"]).groupBy("page_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]), " | ").alias("Discovery sources"))
+        pages = p.join(said, "page_idx", "left").join(reports.issue_text(self.issues()), "page_idx", "left").join(found, "page_idx", "left")
+        own = q(URL="url", Requested_URL="requested_url", Status="status", Lang="lang", Title="title", Meta_description="description", Canonical="canonical", Indexability="indexability", Indexability_reason="reason", Robots="robots", Incoming_internal_links="incoming",
+            Outgoing_internal_links="outgoing", Contextual_incoming_links="contextual_incoming", Contextual_outgoing_links="contextual_outgoing", Crawl_depth="depth", In_sitemap="in_sitemap")
+        own += [c("x_robots").alias("X-Robots-Tag"), c("robots_allowed").alias("Robots.txt allowed"), c("matched_rule").alias("Robots.txt matched rule"), F.size("chain").alias("Redirect hops")]
+        kept = [x for x in [*said.columns, "Issues", "Error count", "Warning count", "Info count", "Discovery sources"] if x != "page_idx"]
+        s = self.summary()
+        site = s.select(
+            F.lit(self.crawl.start_url).alias("URL"), F.lit(cr.origin_of(self.crawl.start_url)).alias("Input origin"), F.lit(self.crawl.seed_url).alias("Audit seed URL"), F.lit(self.preferred["origin"]).alias("Preferred origin"),
+            F.lit(self.preferred["source"]).alias("Preferred origin source"), F.lit(self.preferred["confidence"]).alias("Canonical origin confidence"), c("sitemap_urls").alias("Sitemap URLs discovered"), c("percent").alias("Sitemap coverage %"),
+            c("protection").alias("Environment status"), c("errors").alias("Error count"), c("warnings").alias("Warning count"), c("infos").alias("Info count"),
+            *[c(x).alias(f"Summary {n}") for x, n in (("indexable", "indexable pages"), ("noindex", "noindex pages"), ("robots_blocked", "robots blocked pages"), ("redirects", "redirects"), ("redirect_chains", "redirect chains"), ("orphans", "orphan candidates"),
+                ("duplicate_content", "duplicate groups"), ("links_to_redirects", "links to redirects"), ("mixed_scheme_links", "mixed-scheme links"), ("link_targets_checked", "link targets checked"), ("social_images_checked", "social images checked"),
+                ("social_images_discovered", "social images discovered"), ("contextual_links", "contextual links"), ("max_depth", "max crawl depth"), ("host_alias", "host alias pages"), ("staging_protected", "staging protected pages"),
+                ("staging_unprotected", "staging unprotected pages"), ("expected_findings", "expected staging findings"), ("patterns", "patterns"))],
+        )
+        records = {
+            "site": site,
+            "pattern": self.patterns().select(c("code").alias("Pattern code"), c("scope").alias("Pattern scope"), c("category").alias("Pattern category"), c("likely_root_cause").alias("Pattern root cause")),
+            "origin_variant": self.origins.select(c("url").alias("URL"), c("status").alias("Status"), c("relation").alias("Origin relation"), c("final_url").alias("Origin final URL"), c("redirects").alias("Redirect hops")),
+            "redirect": self.redirects.select(c("from_key").alias("URL"), c("final_url").alias("Redirect final URL"), c("hops").alias("Redirect hops")),
+            "link_check": self.checks.select(c("url").alias("URL"), c("status").alias("Status"), c("url_key").alias("Link check final URL")),
+            "page": pages.select(*own, *[c(f"`{x}`") for x in kept]),
+        }
+        return reports.csv_rows(**{k: df.withColumns(at) for k, df in records.items()})

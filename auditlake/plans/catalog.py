@@ -15,7 +15,9 @@ from auditlake.functions import text as tx
 from auditlake.functions import urls
 from auditlake.functions.html import extract_pages
 from auditlake.operators import crosspage, diff, history, hreflang, insights, links, origin, patterns, robots, rules, sitemap, social
+from auditlake.plans import crawl
 from auditlake.plans import derived as d
+from auditlake.sources import reports
 
 ROOT = "https://site.example"
 NOW = "2024-01-20 00:00:00"
@@ -384,6 +386,101 @@ def history_listing(spark, sf):
     return history.listing(d.derive(spark, sf, d.RUNS), _now(), " SITE1 ", 2).select("id", "url", "environment", "max_pages")
 
 
+def content_hash_status(spark, sf):
+    return parsed_pages(spark, sf).groupBy("content_hash_status").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def robots_counts(spark, sf):
+    return robots.counts(robots.parse(_robots(spark)))
+
+
+def hreflang_codes(spark, sf):
+    return hreflang.codes(d.derive(spark, sf, d.HREFLANGS))
+
+
+def _page_metrics(spark, sf):
+    p = _metrics(spark, sf)
+    return insights.page_metrics(p, _issues(spark, sf).unionByName(crosspage.duplicate_issues(_pages(spark, sf)).withColumn("expected", F.lit(False)).select(*_issues(spark, sf).columns)))
+
+
+def drill_downs(spark, sf):
+    return insights.drill_down_counts(_page_metrics(spark, sf))
+
+
+def coverage_cards(spark, sf):
+    return insights.coverage_cards(_metrics(spark, sf), _targets(spark, sf))
+
+
+def report_filter(spark, sf):
+    """Pages with an error that a search for `/p/1` finds, in any field or message."""
+    return insights.filter_pages(_pages(spark, sf), _issues(spark, sf), "error", " /P/1").select("page_idx", "url")
+
+
+def metadata_top(spark, sf):
+    return insights.largest_groups(metadata_groups(spark, sf))
+
+
+def top_priorities(spark, sf):
+    return insights.top_priorities(priority_buckets(spark, sf), 3).select("priority", "code", "urls", F.col("place").cast("long").alias("place"))
+
+
+def discovery_labels(spark, sf):
+    """How the pages were found: the start, the sitemap, links from other pages."""
+    p = _pages(spark, sf).withColumn("requested_url", F.col("url_key"))
+    of = d.derive(spark, sf, d.LINKS).join(p.select("page_idx", F.col("url_key").alias("source")), "page_idx").select(F.col("dst").alias("url_key"), F.lit("internal-link").alias("kind"), "source")
+    start = p.filter("page_idx = 0").select("url_key", F.lit("start").alias("kind"), F.lit(None).cast("string").alias("source"))
+    listed = d.derive(spark, sf, d.SITEMAP).select("url_key", F.lit("sitemap").alias("kind"), F.lit(None).cast("string").alias("source"))
+    found = crawl.discovery_of(p, of.unionByName(start).unionByName(listed))
+    return found.select("page_idx", "kind", F.col("place").cast("long").alias("place"), "n", "label", F.array_join("sources", ",").alias("sources"))
+
+
+def _sites(spark, sf):
+    return d.derive(spark, sf, d.SITES)
+
+
+def origin_variants(spark, sf):
+    return origin.variants(_sites(spark, sf)).select("site", F.col("pos").cast("long").alias("pos"), "url")
+
+
+def origin_probe(spark, sf):
+    return origin.inspect(_sites(spark, sf), d.derive(spark, sf, d.ORIGIN_ANSWERS)).select("site", "url", F.col("status").cast("long").alias("status"), "relation")
+
+
+def image_sizes(spark, sf):
+    """Width and height from the first bytes of PNG and GIF files, and none from other bytes."""
+    return d.derive(spark, sf, d.IMAGE_HEADS).withColumn("size", social.dimensions("head")).select("page_idx", F.col("size.width").cast("long").alias("width"), F.col("size.height").cast("long").alias("height"))
+
+
+def link_resolution(spark, sf):
+    return d.derive(spark, sf, d.HREFS).select("page_idx", urls.resolved(F.col("base"), F.col("href")).alias("resolved"))
+
+
+def public_targets(spark, sf):
+    return d.derive(spark, sf, d.TARGETS).select("page_idx", urls.public_target(F.col("url")).alias("public"))
+
+
+def request_validation(spark, sf):
+    return history.validate(d.derive(spark, sf, d.REQUESTS)).select("page_idx", "url", F.array_join("faults", ",").alias("faults"))
+
+
+def _export(spark, sf):
+    p = _pages(spark, sf).join(reports.issue_text(_issues(spark, sf)), "page_idx", "left")
+    page = p.select(F.col("url").alias("URL"), F.col("status").alias("Status"), F.col("title").alias("Title"), "Issues", "Error count", "Warning count", "Info count")
+    redirect = d.derive(spark, sf, d.REDIRECTS).select(F.col("from_key").alias("URL"), F.col("final_url").alias("Redirect final URL"), F.col("hops").alias("Redirect hops"))
+    return reports.csv_rows(page=page, redirect=redirect)
+
+
+def csv_export(spark, sf):
+    """Records of an export by type, with what their cells hold."""
+    filled = sum((F.coalesce(F.col(f"`{c}`"), F.lit("")) != "").cast("long") for c in reports.COLUMNS)
+    return _export(spark, sf).select(F.col("Record type").alias("record"), "URL", F.coalesce("Issues", F.lit("")).alias("issues"), F.coalesce("Error count", F.lit("")).alias("errors"), filled.alias("cells"))
+
+
+def csv_import(spark, sf):
+    """The issues that come back from an export's cells."""
+    return reports.imported_issues(_export(spark, sf)).select("url", F.col("seq").cast("long").alias("seq"), "severity", "message", "expected")
+
+
 _QUERIES = [
     visible_word_count, html_extract, html_links, html_hreflangs, html_rule_issues, jsonld_findings, http_link_hreflangs, sitemap_parse, sitemap_locations, social_images, social_image_coverage,
     page_title_rules, page_lang_tally, page_facts, page_issue_counts, url_normalize, url_dedup, locale_interleave, duplicate_titles, duplicate_issues, content_hash_groups, doc_word_count, language_detect,
@@ -391,6 +488,8 @@ _QUERIES = [
     canonical_checks, hreflang_reciprocity, hreflang_relations, hreflang_counts, hreflang_conflicts, hreflang_merge, sitemap_coverage, sitemap_issues, orphans, indexability, fetch_issues, origin_preference,
     mixed_scheme, issue_patterns, severity_summary, staging_context, staging_protection, priority_buckets, opportunities, metadata_groups, audit_diff_issues, audit_diff_pages, audit_progress, launch_readiness,
     history_latest_pairs, history_active_runs, history_prune, history_listing,
+    content_hash_status, robots_counts, hreflang_codes, drill_downs, coverage_cards, report_filter, metadata_top, top_priorities, discovery_labels, origin_variants, origin_probe, image_sizes, link_resolution, public_targets,
+    request_validation, csv_export, csv_import,
 ]
 
 

@@ -156,6 +156,40 @@ select concat(concat('https://site.example/img/', case when k.t = 1 then 't' els
 from (select page_id from {pages} where page_id < 40) n cross join (values (0), (1)) k(t) where k.t = 0 or n.page_id < 30
 """
 
+SITES = """
+select page_id as site, concat(case when page_id % 2 = 0 then 'https' else 'http' end, '://', case when page_id % 3 = 0 then 'www.' else '' end, case when page_id % 7 = 5 then '8.8.8.8' else concat('s', cast(page_id as string), '.example') end, '/start') as start_url,
+  concat(case when page_id % 5 < 4 then 'https' else 'http' end, '://', case when page_id % 4 = 0 and page_id % 7 <> 5 then 'www.' else '' end, case when page_id % 7 = 5 then '8.8.8.8' else concat('s', cast(page_id as string), '.example') end) as preferred_origin
+from {pages}
+"""
+
+ORIGIN_ANSWERS = """
+select concat(x.scheme, '://', x.www, 's', cast(page_id as string), '.example/') as url, case when page_id % 6 = 1 then 0 when page_id % 6 = 2 then 404 else 200 end as status,
+  concat(case when page_id % 6 < 4 then 'https' else x.scheme end, '://', case when page_id % 6 < 4 then '' else x.www end, 's', cast(page_id as string), '.example/') as final_url,
+  case when page_id % 6 < 4 and concat(x.scheme, x.www) <> 'https' then 1 else 0 end as hops
+from {pages} cross join (values ('https', ''), ('http', ''), ('https', 'www.'), ('http', 'www.')) x(scheme, www) where page_id % 11 > 0
+"""
+
+IMAGE_HEADS = """
+select page_id as page_idx, case page_id % 3 when 0 then unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(page_id + 1), 8, '0'), lpad(hex(page_id * 2 + 3), 8, '0')))
+  when 1 then unhex(concat('474946383961', lpad(hex(page_id % 200 + 1), 2, '0'), '01', '0A00')) else unhex('FFD8FF') end as head from {pages}
+"""
+
+HREFS = """
+select page_id as page_idx, concat('https://site.example/a/b', cast(page_id as string)) as base,
+  case page_id % 12 when 0 then '/x' when 1 then '?q=1' when 2 then '#part' when 3 then '../up' when 4 then '//other.example/y' when 5 then 'mailto:a@b.example' when 6 then 'HTTP://UP.example:80/Z' when 7 then ' ' when 8 then 'c?b=2&a=1&utm_campaign=x'
+    when 9 then 'ftp://site.example/' when 10 then 'http://site.example:8080' else 'javascript:void(0)' end as href from {pages}
+"""
+
+TARGETS = """
+select page_id as page_idx, case page_id % 12 when 0 then 'https://site.example/' when 1 then concat('http://10.0.0.', cast(page_id % 250 as string), '/') when 2 then 'http://127.0.0.1/' when 3 then 'https://8.8.8.8/' when 4 then 'http://[::1]/' when 5 then 'https://user:pass@site.example/'
+  when 6 then 'http://localhost/' when 7 then 'https://printer.local/' when 8 then concat('http://192.168.1.', cast(page_id % 250 as string)) when 9 then 'ftp://site.example/' when 10 then 'http://169.254.1.1/' else 'https://sub.site.example:8443/x' end as url from {pages}
+"""
+
+REQUESTS = """
+select page_id as page_idx, case page_id % 7 when 0 then 'site.example' when 1 then ' HTTPS://Site.example/ ' when 2 then '' when 3 then repeat('a', 2049) when 4 then null else 'http://site.example' end as url,
+  cast(case page_id % 5 when 0 then null when 1 then 0 when 2 then 1001 else page_id % 1000 + 1 end as int) as max_pages, case page_id % 4 when 0 then null when 1 then 'staging' when 2 then 'test' else 'live' end as environment from {pages}
+"""
+
 #: Two audits of one site: what the second one lost, gained and changed follows from the residues.
 PREVIOUS_PAGES = f"select page_idx, url, status, robots_allowed, case when page_idx % 8 = 1 then 'not-indexable' else 'indexable' end as indexability, canonical, title, description, array(title) as h1 from ({PAGES}) p where page_idx % 10 <> 1"
 CURRENT_PAGES = f"""select page_idx, url, status, robots_allowed, case when page_idx % 16 = 1 then 'not-indexable' else 'indexable' end as indexability,

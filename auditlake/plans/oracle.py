@@ -265,6 +265,55 @@ def sql() -> dict[str, str]:
     q["history_prune"] = f"{{with}} select environment, count(*) as pruned from runs where expires_at <= timestamp '{NOW}' group by 1"
     q["history_listing"] = f"{{with}} select id, url, environment, max_pages from runs where status = 'completed' and {live} and contains(lower(url), 'site1') order by created_at desc, id desc limit 30 offset 30"
 
+    robots_known = {"0": (2, 4), "1": (2, 3), "2": (1, 3)}  # counted in catalog.ROBOTS by hand; empty patterns are no rules
+    q["robots_counts"] = "select * from (values " + ", ".join(f"('{k}', {g}::bigint, {r}::bigint)" for k, (g, r) in robots_known.items()) + ") v(site, groups, rules)"
+    q["hreflang_codes"] = "{with} select string_agg(lang, ',' order by lang) as hreflang_codes from (select distinct lower(lang) as lang from hr) x"
+    q["metadata_top"] = f"{q['metadata_groups']}".rstrip() + " order by pages desc, field desc, text_key limit 20"
+    q["top_priorities"] = f"{{with}}, x as ({q['priority_buckets'].replace('{with}', 'with _ as (select 1)')}) select priority, code, urls, place from (select *, row_number() over (partition by priority order by urls desc, code) as place from x) y where place <= 3"
+    q["report_filter"] = """{with}, m as (select page_idx, string_agg(code || ' ' || message, ' ') as said, bool_or(severity = 'error') as err from iss group by 1)
+      select pg.page_idx, pg.url from pg join m using (page_idx) where err and contains(lower(concat_ws(' ', pg.url, title, description, lang, canonical, said)), '/p/1')"""
+    q["discovery_labels"] = """{with}, f as (select lk.dst as url_key, 'internal-link' as kind, pg.url_key as source from lk join pg using (page_idx) union all select url_key, 'start', null from pg where page_idx = 0 union all select url_key, 'sitemap', null from sm),
+      g as (select pg.page_idx, kind, count(distinct coalesce(source, '')) as n, coalesce(string_agg(distinct source, ',' order by source), '') as sources from f join pg using (url_key) group by 1, 2)
+      select page_idx, kind, case kind when 'start' then 1 when 'sitemap' then 2 else 3 end::bigint as place, n, replace(kind, '-', ' ') || case when n > 1 then 's (' || n || ')' else '' end as label, sources from g"""
+    drill = {
+        "errors": "errors > 0", "warnings": "warnings > 0", "infos": "infos > 0", "noindex": _noindex("robots", "x_robots"), "robots-blocked": "not robots_allowed", "indexable": "indexability = 'indexable'", "not-indexable": "indexability = 'not-indexable'",
+        "canonicalized": "indexability = 'canonicalized'", "host-alias": "indexability = 'host-alias'", "failed": "status = 0", "http-errors": "status >= 400", "orphans": "in_sitemap and incoming = 0", "deep": "depth >= 4", "unreachable": "depth is null",
+        "outside-sitemap": "not in_sitemap", "duplicates": "dup",
+    }
+    q["drill_downs"] = f"""{{with recursive}}, {_EFF}, {_DEGREE}, {_DEPTH}, {_index("https://site.example")}, dups as ({q["duplicate_issues"].replace("{with}", "with _ as (select 1)")}),
+      e as (select page_idx, severity, false as dup from iss where not expected union all select page_idx, severity, true from dups),
+      n as (select page_idx, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos, bool_or(dup) as dup from e group by 1),
+      m as (select ix.*, incoming, depth, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, coalesce(dup, false) as dup from ix join deg using (page_idx) left join dep using (page_idx) left join n using (page_idx))
+      """ + " union all ".join(f"select '{k}' as metric, count(*) as pages from m where {c} having count(*) > 0" for k, c in drill.items())
+    q["coverage_cards"] = f"""{{with}}, {_EFF}, {_DEGREE}, {_SITEMAP.format(s="sm")}, p as (select count(*) as audited, count(*) filter (not in_sitemap) as outside_sitemap, count(*) filter (status = 0) as failed, count(*) filter (incoming > 0) as via_links from pg join deg using (page_idx))
+      select p.*, (select count(page_idx) from tg) as checked, (select count(*) from tg where page_idx is null) as unvisited from p"""
+    site, pref = "'s' || i || '.example'", "case when i % 4 = 0 then 'www.' else '' end"
+    q["origin_variants"] = f"""with n as (select page_id as i, i % 7 = 5 as num, case when i % 5 < 4 then 'https' else 'http' end as sc, case when i % 2 = 0 then 'https' else 'http' end as ssc from pages),
+      h as (select *, case when num then '8.8.8.8' else {pref} || {site} end as ph, case when i % 3 = 0 then 'www.' else '' end || case when num then '8.8.8.8' else {site} end as sh, case when sc = 'https' then 'http' else 'https' end as oc from n),
+      l as (select *, case when starts_with(ph, 'www.') then substr(ph, 5) else 'www.' || ph end as bare from h),
+      v as (select i, unnest([sc || '://' || ph, ssc || '://' || sh, oc || '://' || ph, case when not num then sc || '://' || bare end, case when not num then oc || '://' || bare end]) as o, unnest([1, 2, 3, 4, 5]) as k from l),
+      f as (select i, o || '/' as url, min(k) as k from v where o is not null group by 1, 2)
+      select i as site, row_number() over (partition by i order by k) - 1 as pos, url from f"""
+    q["origin_probe"] = f"""with v as ({q["origin_variants"]}), p as (select page_id as i, case when i % 5 < 4 then 'https' else 'http' end || '://' || case when i % 7 = 5 then '8.8.8.8' else {pref} || {site} end as preferred from pages),
+      a as (select page_id as i, sc || '://' || www || 's' || page_id || '.example/' as url, case when page_id % 6 = 1 then 0 when page_id % 6 = 2 then 404 else 200 end as status,
+        case when page_id % 6 < 4 then 'https://s' || page_id || '.example' else sc || '://' || www || 's' || page_id || '.example' end as ends, page_id % 6 < 4 and sc || www <> 'https' as hop
+        from pages, (values ('https', ''), ('http', ''), ('https', 'www.'), ('http', 'www.')) x(sc, www) where page_id % 11 > 0)
+      select v.site, v.url, coalesce(status, 0)::bigint as status, case when coalesce(status, 0) = 0 then 'unreachable' when v.url = preferred || '/' then 'preferred' when ends = preferred and hop then 'redirects-to-preferred'
+        when status between 200 and 299 then 'direct-nonpreferred' else 'other' end as relation from v join p on v.site = p.i left join a on a.url = v.url"""
+    q["image_sizes"] = "select page_id as page_idx, case page_id % 3 when 0 then page_id + 1 when 1 then page_id % 200 + 257 end::bigint as width, case page_id % 3 when 0 then page_id * 2 + 3 when 1 then 10 end::bigint as height from pages"
+    q["link_resolution"] = """select page_id as page_idx, ['https://site.example/x', 'https://site.example/a/b' || page_id || '?q=1', 'https://site.example/a/b' || page_id, 'https://site.example/up', 'https://other.example/y', null, 'http://up.example/Z', null,
+        'https://site.example/a/c?a=1&b=2', null, 'http://site.example:8080/', null][page_id % 12 + 1] as resolved from pages"""
+    q["public_targets"] = "select page_id as page_idx, page_id % 12 in (0, 3, 11) as public from pages"
+    q["request_validation"] = """with r as (select page_id as i, ['site.example', 'HTTPS://Site.example/', '', repeat('a', 2049), '', 'http://site.example', 'http://site.example'][page_id % 7 + 1] as url from pages)
+      select i as page_idx, case when lower(url) like 'http://%' or lower(url) like 'https://%' then url else 'https://' || url end as url,
+        concat_ws(',', case when i % 7 in (2, 4) then 'url required' end, case when i % 7 = 3 then 'url too long' end, case when i % 5 in (1, 2) then 'max_pages out of range' end, case when i % 4 = 2 then 'environment unknown' end) as faults from r"""
+    cell = "string_agg(case when expected then 'expected' else severity end || ': ' || message, ' | ' order by stage, seq)"
+    q["csv_export"] = f"""{{with}}, c as (select page_idx, {cell} as issues, count(*) filter (severity = 'error' and not expected) as errors, 3 as counts from iss group by 1)
+      select 'page' as record, url, coalesce(issues, '') as issues, coalesce(errors::varchar, '') as errors, (3 + (title <> '')::int + case when issues is null then 0 else 4 end)::bigint as cells from pg left join c using (page_idx)
+      union all select 'redirect', from_key, '', '', 4 from rd"""
+    q["csv_export"] = q["csv_export"].replace(", url, coalesce", ', url as "URL", coalesce', 1)
+    q["csv_import"] = """{with} select url, row_number() over (partition by page_idx order by stage, seq) - 1 as seq, case when expected then 'expected' else severity end as severity, message, expected from iss"""
+
     out = {}
     for name, text in q.items():
         body = text.replace("{with recursive}", "").replace("{with}", "")

@@ -91,6 +91,7 @@ def sql(language) -> dict[str, str]:
         "social_image_coverage": f"""{_FACTS}, {images}, u as (select url, min((i, k)) as place from g group by 1), c as (select url from u order by place limit 75)
           select (select count(*) from u) as discovered, (select count(*) from c) as checked, (select min(url) from c) as first_url""",
         "visible_word_count": f"with {_SEEN} select page_id as page_idx, word_count, fingerprint_words, sha256(regexp_replace(plain, '\\s+', '', 'g')) as text_sha256 from w",
+        "content_hash_status": f"with {_SEEN} select case when fingerprint_words >= 80 then 'available' else 'not generated (' || fingerprint_words || ' fingerprint words; minimum 80)' end as content_hash_status, count(*) as pages from w group by 1",
         "page_facts": f"""with {_SEEN}, f as (select *, {_TITLE} as title from w)
           select page_id as page_idx, title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') as lang, len(regexp_extract_all(html, '<h1>'))::int as h1_count, len(regexp_extract_all(html, '<img'))::int as images_total, 0 as jsonld_scripts, 0 as canonical_count,
             len(list_distinct(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: not regexp_matches(x, {_NO_PAGE}))))::bigint as links, sha256(title) as title_hash, word_count from f""",

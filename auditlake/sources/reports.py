@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 #: Fixed names: record types of the CSV export and the columns that a re-import needs.
 RECORD_TYPES = ("site", "pattern", "origin-variant", "redirect", "link-check", "page")
 ISSUE_JOIN = " | "
+#: Fixed names: the columns of a CSV export, in their order.
+COLUMNS = (
+    "Record type", "Audit generated at", "Engine version", "Environment", "URL", "Requested URL", "Status", "Lang", "Detected lang", "Language confidence",
+    "Title", "Meta description", "Canonical", "Indexability", "Indexability reason", "Expected staging finding", "Discovery sources", "Discovery details",
+    "Robots", "X-Robots-Tag", "Robots.txt allowed", "Redirect final URL", "Redirect chain", "Link check final URL", "Link check error",
+    "Pattern code", "Pattern scope", "Pattern category", "Pattern root cause", "Origin relation", "Origin final URL",
+    "Input origin", "Audit seed URL", "Preferred origin", "Preferred origin source", "Canonical origin confidence",
+    "Robots.txt matched rule", "Redirect hops", "Incoming internal links", "Outgoing internal links", "Contextual incoming links",
+    "Contextual outgoing links", "Crawl depth", "Internal links to redirects", "In sitemap", "H1 count", "H1 text", "H2 count",
+    "Word count", "Image count", "Images missing alt", "Images empty alt", "Hreflang codes", "Hreflang targets", "Hreflang sources",
+    "OG title", "OG description", "OG image", "OG URL", "OG image status", "OG image content type", "OG image width", "OG image height",
+    "Twitter card", "Twitter title", "Twitter description", "Twitter image", "Twitter image status", "Twitter image content type",
+    "Twitter image width", "Twitter image height", "JSON-LD blocks", "JSON-LD parseable", "JSON-LD syntax invalid",
+    "JSON-LD types", "JSON-LD semantic findings", "Content hash", "Content hash status",
+    "Error count", "Warning count", "Info count", "Sitemaps parsed", "Sitemap URLs discovered", "Sitemap coverage %",
+    "Summary indexable pages", "Summary noindex pages", "Summary robots blocked pages", "Summary redirects", "Summary redirect chains",
+    "Summary orphan candidates", "Summary duplicate groups", "Summary links to redirects", "Summary mixed-scheme links",
+    "Summary link targets checked", "Summary social images checked", "Summary social images discovered", "Summary contextual links", "Summary max crawl depth", "Summary host alias pages",
+    "Summary staging protected pages", "Summary staging unprotected pages", "Summary expected staging findings", "Environment status", "Summary patterns", "Issues",
+)
 
 
 def report(summary: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
@@ -42,18 +62,24 @@ def issue_text(issues: DataFrame) -> DataFrame:
     kind = F.when(F.coalesce("expected", F.lit(False)), "expected").otherwise(F.col("severity"))
     g = issues.groupBy("page_idx").agg(
         F.sort_array(F.collect_list(F.struct("stage", "seq", F.concat(kind, F.lit(": "), F.col("message")).alias("t")))).alias("l"),
-        *[F.count_if((F.col("severity") == s) & ~F.coalesce("expected", F.lit(False))).alias(n) for s, n in (("error", "Errors"), ("warning", "Warnings"), ("info", "Infos"))],
+        *[F.count_if((F.col("severity") == s) & ~F.coalesce("expected", F.lit(False))).alias(n) for s, n in (("error", "Error count"), ("warning", "Warning count"), ("info", "Info count"))],
     )
-    return g.select("page_idx", F.array_join(F.transform("l", lambda x: x["t"]), ISSUE_JOIN).alias("Issues"), "Errors", "Warnings", "Infos")
+    return g.select("page_idx", F.array_join(F.transform("l", lambda x: x["t"]), ISSUE_JOIN).alias("Issues"), "Error count", "Warning count", "Info count")
 
 
 def csv_rows(**records: DataFrame) -> DataFrame:
-    """The records of an export, one table per type (site, pattern, origin_variant, redirect, link_check, page), as one."""
+    """The records of an export, one table per type (site, pattern, origin_variant, redirect, link_check, page), as one.
+
+    The tables name the columns they fill; the export has all COLUMNS, empty where a record has nothing to say.
+    """
     unknown = [k for k in records if k.replace("_", "-") not in RECORD_TYPES]
     if unknown:
         raise ValueError(f"no record type {unknown[0]}")
-    parts = [df.select(F.lit(k.replace("_", "-")).alias("Record type"), *[F.col(c).cast("string").alias(c) for c in df.columns]) for k, df in records.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    for k, df in records.items():
+        if odd := [c for c in df.columns if c not in COLUMNS]:
+            raise ValueError(f"no column {odd[0]} in an export ({k})")
+    filled = lambda df: [F.col(f"`{c}`").cast("string").alias(c) if c in df.columns else F.lit("").alias(c) for c in COLUMNS[1:]]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k.replace("_", "-")).alias(COLUMNS[0]), *filled(df)) for k, df in records.items()])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

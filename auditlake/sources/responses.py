@@ -6,7 +6,7 @@ import base64
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -63,9 +63,20 @@ def lookup(frontier: DataFrame, responses: DataFrame) -> DataFrame:
     r = responses.withColumnRenamed("url", "_url")
     both = frontier.join(r, frontier["url"] == r["_url"], "left")
     missing = F.col("_url").isNull()
-    return both.withColumns(
-        {"status": F.when(missing, 404).otherwise(F.col("status")), "content_type": F.when(missing, "text/html").otherwise(F.col("content_type")), "body": F.when(missing, F.lit(b"")).otherwise(F.col("body"))}
-    ).drop("_url")
+    return both.withColumns({c: F.when(missing, F.lit(x)).otherwise(F.col(c)) for c, x in NOT_CAPTURED.items() if c in r.columns}).drop("_url")
+
+
+NOT_CAPTURED = {"status": 404, "content_type": "text/html", "body": b""}
+
+
+def among(responses: DataFrame, urls: list[str]) -> DataFrame:
+    """What was captured of a list of URLs that the driver holds: a filter that reaches the files, so one scan and no shuffle."""
+    return responses.filter(F.col("url").isin(urls))
+
+
+def text_of(body) -> Column:
+    """A body as text: UTF-8, with a replacement mark for what is not."""
+    return F.make_valid_utf8(body.cast("string"))
 
 
 def fetch(frontier: DataFrame, seconds: int = PAGE_SECONDS, accept: str = HTML_ACCEPT, image_bytes: int | None = None) -> DataFrame:

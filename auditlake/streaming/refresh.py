@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.html import MAX_BODY_BYTES, extract_pages
 from auditlake.functions.urls import url_key
 from auditlake.operators import rules
-from auditlake.sources.responses import SCHEMA
+from auditlake.sources.responses import SCHEMA, text_of
 
 
 def responses_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def page_stream(responses: DataFrame) -> DataFrame:
     """
     html = responses.filter((F.col("status") > 0) & F.contains(F.lower(F.coalesce("content_type", F.lit("text/html"))), F.lit("html")))
     fits = F.coalesce(F.octet_length("body"), F.lit(0)) <= MAX_BODY_BYTES
-    rows = html.select(F.xxhash64("url").alias("page_idx"), "url", "seen_at", F.when(fits, F.col("status")).otherwise(0).alias("status"), F.when(fits, F.decode("body", "utf-8")).alias("html"))
+    rows = html.select(F.xxhash64("url").alias("page_idx"), "url", "seen_at", F.when(fits, F.col("status")).otherwise(0).alias("status"), F.when(fits, text_of(F.col("body"))).alias("html"))
     return extract_pages(rows).withColumn("url_key", url_key(F.col("url")))
 
 
