@@ -112,7 +112,7 @@ def _scan(shared, window: int):
                         continue
                     own = np.flatnonzero(np.diff(np.concatenate([[False], hit[w.upto[t] : w.upto[t + 1]], [False]]).astype(np.int8)))
                     runs.append(own.tolist())
-                    items.append(sorted({block.ids[i] for i in seen[t]}))
+                    items.append(sorted({block.ids[i] for i in seen[t]} - {None}))
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("key"), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 names=["doc_id", "key", "n_words", "runs", "items"],
@@ -122,9 +122,9 @@ def _scan(shared, window: int):
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple]:
-    """Rows with a null id or text have no windows. One block is in the driver's memory at a time."""
+    """Rows with a null text have no windows. One block is in the driver's memory at a time."""
     block, words = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).dropna().toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).dropna(subset="t").toLocalIterator():
         n = len(r.t) // 2 + 1
         if block and words + n > block_words:
             yield tuple(block)
@@ -138,7 +138,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """One row per input row: doc_id, key, n_words, n_hit, runs (word positions start, end, ...), items (sorted).
 
     Null and empty texts have no words and no hits; an item shorter than the window counts as one window,
-    one without words as none; items that share a text all count. With an empty benchmark nothing is hit.
+    one without words as none; items that share a text all count. The words of an item with a null id are hit
+    like any, but it has no id to list and is not counted. With an empty benchmark nothing is hit.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
@@ -147,9 +148,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     if len(scans) > 1:
         scratch = Scratch(spark, "decontaminate")
         parts = [scratch.keep(s) for s in scans]
-        hits = parts[0].filter("size(items) > 0")
+        hits = parts[0].filter("size(runs) > 0")
         for p in parts[1:]:
-            hits = hits.unionByName(p.filter("size(items) > 0"))
+            hits = hits.unionByName(p.filter("size(runs) > 0"))
         merged = hits.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = scratch.keep(merged.mapInArrow(_merge_runs, merged.schema))
         base = parts[0].select("doc_id", "key", "n_words")
@@ -202,7 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, spa
     set anew for these, and a text of nothing else goes; without, they stay as they are. Other rows are not
     changed. Repeated rows fare alike.
     """
-    found = find_contamination(docs, benchmark).filter("size(items) > 0").dropDuplicates(["doc_id", "key"])
+    found = find_contamination(docs, benchmark).filter("n_hit > 0").dropDuplicates(["doc_id", "key"])
     found = Scratch(docs.sparkSession, "decontaminate").keep(
         found.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("runs").alias("__runs"), F.size("items").alias("__n"), (F.col("n_hit") == F.col("n_words")).alias("__all"))
     )
@@ -228,7 +229,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LIST = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL = f"""
-WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LIST} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LIST} AS w FROM benchmark),
 bw AS (
   SELECT DISTINCT item, least(len(w), 8) AS n, array_to_string(w[i : i + least(len(w), 8) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS i FROM b WHERE len(w) > 0)),

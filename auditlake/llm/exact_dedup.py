@@ -74,15 +74,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay (see exact_groups), with all their columns."""
+    """The rows of `docs` that stay (see exact_groups), with all their columns.
+
+    Texts are read where they lie; only rows that are repeated with their doc_id, of which one stays, are shuffled.
+    """
     scratch = Scratch(docs.sparkSession, "exact")
-    stay = scratch.keep(_classes(docs, scratch).filter("kept").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "group_size"))
-    out = docs.withColumn("__text_key", text_key(F.col("text")))
-    out = out.join(stay, (out["doc_id"].cast("long").eqNullSafe(stay["__doc"])) & (out["__text_key"] == stay["__key"]), "left_semi")
-    same = docs.groupBy("doc_id", text_key(F.col("text")).alias("key")).count().filter("count > 1")
-    if not same.isEmpty():  # rows repeated with their doc_id: one of them stays
-        out = out.dropDuplicates(["doc_id", "__text_key"])
-    return out.drop("__text_key")
+    classes = scratch.keep(_classes(docs, scratch).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "kept", (F.col("group_size") > 1).alias("copied")))
+    repeated = scratch.keep(classes.filter("copied").groupBy("__doc", "__key").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("n > 1"))
+    stay = classes.filter("kept").select("__doc", "__key")
+    keyed = docs.withColumn("__text_key", text_key(F.col("text")))
+    among = lambda some: keyed.join(some, keyed["doc_id"].cast("long").eqNullSafe(some["__doc"]) & (keyed["__text_key"] == some["__key"]), "left_semi")
+    if repeated.isEmpty():
+        return among(stay).drop("__text_key")
+    one = among(repeated.filter("kept")).dropDuplicates(["doc_id", "__text_key"])
+    single = stay.join(repeated.select(F.col("__doc").alias("_d"), F.col("__key").alias("_k")), F.col("__doc").eqNullSafe(F.col("_d")) & (F.col("__key") == F.col("_k")), "left_anti")
+    return among(scratch.keep(single)).unionByName(one).drop("__text_key")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

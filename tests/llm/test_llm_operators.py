@@ -65,8 +65,10 @@ def test_exact_groups_against_brute_force(docs):
         want = collections.Counter((r["doc_id"], max((i for i in groups[lowered(r["text"])] if i is not None), default=None), len(groups[lowered(r["text"])]), hashlib.sha256(lowered(r["text"]).encode()).hexdigest()) for r in rows)
         assert collections.Counter((g["doc_id"], g["keep_id"], g["group_size"], g["text_sha256"]) for g in got) == want
         assert sum(g["kept"] for g in got) == len(groups)
-    left = collected(exact_dedup.drop_exact_copies(with_extras(docs)))
-    assert len(left) == len(groups) and len({lowered(r["text"]) for r in left}) == len(groups)
+    for df in (docs, docs.dropDuplicates(["doc_id", "text"])):  # with and without repeated rows
+        left = collected(exact_dedup.drop_exact_copies(with_extras(df)))
+        assert len(left) == len(groups) and len({lowered(r["text"]) for r in left}) == len(groups)
+        assert {r["doc_id"] for r in left} == {max((i for i in g if i is not None), default=None) for g in groups.values()}
 
 
 def test_exact_groups_compare_bytes_beyond_each_digit(spark):
@@ -264,7 +266,7 @@ def item_windows(t, n):
 
 
 def brute_contamination(rows, items):
-    windows = [(str(i), set(item_windows(t, 8)[1])) for i, t in items if i is not None]
+    windows = [(i, set(item_windows(t, 8)[1])) for i, t in items]
     out = []
     for r in rows:
         w, _ = item_windows(r["text"], 8)
@@ -274,7 +276,7 @@ def brute_contamination(rows, items):
                 for k in range(len(w) - len(x) + 1):
                     if tuple(w[k : k + len(x)]) == x:
                         hit |= set(range(k, k + len(x)))
-                        found.add(i)
+                        found |= {str(i)} if i is not None else set()
         out.append((r["doc_id"], len(w), len(hit), tuple(sorted(found))))
     return collections.Counter(out)
 
@@ -282,7 +284,7 @@ def brute_contamination(rows, items):
 def test_contamination_against_brute_force(spark, docs):
     rows = collected(docs)
     w = rows[8]["text"].split()
-    items = [(1, " ".join(w[10:30])), (2, "ONE, two; three!"), (10, " ".join(w[15:40])), (3, None), (None, "one two three"), (4, "..."), (5, " ".join(w[200:208])), (5, "word word word word word word word word word"), (6, words(30, 999))]
+    items = [(1, " ".join(w[10:30])), (2, "ONE, two; three!"), (10, " ".join(w[15:40])), (3, None), (None, "one two three"), (None, " ".join(w[250:262])), (4, "..."), (5, " ".join(w[200:208])), (5, "word word word word word word word word word"), (6, words(30, 999))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(rows, items)
     for block_words in (10**6, 12):
