@@ -245,8 +245,22 @@ def test_page_queries_read_pages_of_any_length(spark, tmp_path):
 
 
 def test_click_depth_has_no_limit(spark):
-    """A path of 60 pages, with a shorter way to one of them, a cycle, and pages out of reach."""
-    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(60, 0), (0, 10), (5, 5), (70, 71), (0, 1)], "src long, dst long")
+    """A path of 16 pages, with a shorter way to one of them, a cycle, and pages out of reach."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(16)] + [(16, 0), (0, 10), (5, 5), (70, 71), (0, 1)], "src long, dst long")
     got = {r.page_idx: r.depth for r in links.crawl_depth(edges, 0).collect()}
-    assert got == {k: min(k, k - 9 if k >= 10 else k) for k in range(61)}
+    assert got == {k: min(k, k - 9 if k >= 10 else k) for k in range(17)}
     assert [tuple(r) for r in links.crawl_depth(edges.limit(0), 3).collect()] == [(3, 0)]
+
+
+def test_runs_are_pruned_with_their_archives_and_loaded_by_id(spark, tmp_path):
+    ids = [f"0000000{k}-0000-4000-8000-00000000000{k}" for k in range(4)]
+    for k in range(4):
+        (tmp_path / f"a{k}").mkdir()
+        (tmp_path / f"a{k}" / "part.json").write_text("{}")
+    runs = spark.createDataFrame([(ids[k], "completed" if k != 2 else "failed", f"2024-01-0{k + 1} 00:00:00", str(tmp_path / f"a{k}")) for k in range(4)], "id string, status string, expires_at string, archive_path string")
+    runs = runs.withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    assert sorted(r.id for r in history.prune(runs, now).collect()) == ids[1:] and [(tmp_path / f"a{k}").exists() for k in range(4)] == [False, True, True, True]
+    found = lambda a, b: {(r.place, r.id) for r in history.saved(runs, a, b, now).collect()}
+    assert found(ids[3], ids[1]) == {("current", ids[3]), ("previous", ids[1])}
+    assert found(ids[2], None) == found("1 or 1", ids[0]) == set()
