@@ -118,10 +118,20 @@ def is_public(url: str | None) -> bool:
 
 
 @F.pandas_udf(T.StringType())
-def url_key(url: pd.Series) -> pd.Series:
+def _normalized(url: pd.Series) -> pd.Series:
     return url.map(normalize, na_action="ignore")
 
 
+#: Addresses that are their own key: lower-case host, no port, no query, and a path of characters that need no escape.
+_OWN_KEY = r"^https?://[a-z0-9.\-]+/[A-Za-z0-9!$&'()*+,;=:@/._~\-]*\z"
+
+
+def url_key(url: Column) -> Column:
+    """Crawl key of a URL. Those that are their own key stay in the JVM; only the others are worth a call."""
+    own = url.rlike(_OWN_KEY)
+    return F.when(own, url).otherwise(_normalized(F.when(~own, url)))
+
+
 @F.pandas_udf(T.StringType())
 def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)

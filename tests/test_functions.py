@@ -113,3 +113,9 @@ def test_deep_and_unclosed_pages_parse_in_proportion():
     odd = parse_page("https://e.example/", "<body><h1>a<h1>b<nav><a href=/n>n</nav>c</h1><main><h2>d</h2>e<main>f</main></main>g<article>h</article>")
     assert odd["h1"] == ["bnc", "abncdefgh"] and odd["link_details"][0]["location"] == "navigation"
     assert odd["visible_text"] == "d e f" and odd["fingerprint_text"] == ""  # all of it lies in the heading that stays open
+
+
+def test_url_keys_that_need_no_call(spark):
+    given = ["http://a.example/", "https://a-b.example/x/y;p=1,2:3@4!$&'()*+=~_.-", "https://a.example//x/../y/.", "https://A.example/", "https://a.example", "https://a.example/%7Ex", "https://a.example/x?b=2&a=1#f", " https://a.example/x ", "https://a.example:443/", "https://a.example/\u00e9", "https://a.example/x\n", "ftp://a.example/", "https:///x", "https://1.2.3.4/", "", None]
+    df = spark.createDataFrame([(u,) for u in given], "u string")
+    assert [r.k for r in df.select(urls.url_key(F.col("u")).alias("k")).collect()] == [urls.normalize(u) for u in given]
