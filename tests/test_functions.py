@@ -98,6 +98,14 @@ def test_json_ld():
     assert [i["code"] for i in parse_page("https://e.example/", block.format('{"@context":"x","name":"n"}'))["jsonld_issues"]] == ["jsonld_type_missing"]
 
 
+def test_references_have_semicolons():
+    page = parse_page("https://e.example/", """<title>R&amp;D &lt;&quot;&amp;amp; &eacute;&#38;&#x26 &amp</title><meta name=description content="a&amp;b &copy&amp"><main><h1>x&amp;&amp</h1><p>\ue000 &#xE001; &ampere &copy2 &fake; &am&lt</p>
+      <a href="/x?a=1&copy=2&amp;lt=3">y</a></main><script type="application/ld+json">{"@context": "x", "@type": "A&amp &amp; \ue000"}</script>""")
+    assert page["title"] == 'R&D <"&amp; é&& &amp' and page["description"] == "a&b &copy&amp" and page["h1"] == ["x&&amp"]
+    assert page["visible_text"] == "x&&amp \ue000 \ue001 &ampere &copy2 &fake; &am&lt y" and page["jsonld_types"] == ["A&amp &amp; \ue000"]
+    assert page["links"] == ["https://e.example/x?a=1&copy=2&lt=3"]
+
+
 def test_empty_and_broken_pages():
     for html in ("", "<", "<title", "plain text", "<p><b>open", "<!-- open", "<a href='/x'>" * 2000):
         assert parse_page("https://e.example/", html)["h1_count"] == 0

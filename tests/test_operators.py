@@ -244,6 +244,32 @@ def test_page_queries_read_pages_of_any_length(spark, tmp_path):
     assert {r.page_idx: r.word_count for r in q["page_facts"]} == {0: 2, 1: 600_001} and {r.code: r.pages for r in q["page_issue_counts"]}["canonical_missing"] == 2
 
 
+def cut_pages(spark, path):
+    """Titles that are cut within a character reference."""
+    page = lambda title: f'<!DOCTYPE html><html lang="en"><head><title>{title}</title></head><body><nav><a href="/a">a</a></nav><article><h1>{title}</h1><p>some text&amp;&amp; and more</p></article></body></html>'
+    titles = ["One of two&amp;&amp;&amp", "&quot;Said&quot", "this &lt;&lt", "those &gt;&gt", "that&amp;&am", "whole &amp;", "&amp;lt; &amp;quot"]
+    spark.createDataFrame([(k, f"https://e.example/{k}", page(t)) for k, t in enumerate(titles)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
+
+
+def answers_of_sql(name, path):
+    import duckdb
+
+    from auditlake.plans import catalog
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{path}/pages.parquet/*.parquet')")
+    return sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
+
+
+def test_page_facts_of_cut_references(spark, tmp_path):
+    from auditlake.plans import catalog
+
+    cut_pages(spark, tmp_path)
+    got = sorted(tuple(r) for r in catalog.queries()["page_facts"](spark, str(tmp_path)).collect())
+    assert [r[1] for r in got] == ["One of two&&&amp", '"Said&quot', "this <&lt", "those >&gt", "that&&am", "whole &", "&lt; &quot"]
+    assert got == answers_of_sql("page_facts", tmp_path)
+
+
 def test_click_depth_has_no_limit(spark):
     """A path of 16 pages, with a shorter way to one of them, a cycle, and pages out of reach."""
     edges = spark.createDataFrame([(k, k + 1) for k in range(16)] + [(16, 0), (0, 10), (5, 5), (70, 71), (0, 1)], "src long, dst long")
