@@ -270,6 +270,15 @@ def test_page_facts_of_cut_references(spark, tmp_path):
     assert got == answers_of_sql("page_facts", tmp_path)
 
 
+def test_visible_words_of_cut_references(spark, tmp_path):
+    from auditlake.plans import catalog
+
+    cut_pages(spark, tmp_path)
+    got = sorted(tuple(r) for r in catalog.queries()["visible_word_count"](spark, str(tmp_path)).collect())
+    assert [r[1:3] for r in got] == [(8, 4), (6, 4), (6, 4), (6, 4), (6, 4), (5, 4), (6, 4)]
+    assert got == answers_of_sql("visible_word_count", tmp_path)
+
+
 def test_click_depth_has_no_limit(spark):
     """A path of 16 pages, with a shorter way to one of them, a cycle, and pages out of reach."""
     edges = spark.createDataFrame([(k, k + 1) for k in range(16)] + [(16, 0), (0, 10), (5, 5), (70, 71), (0, 1)], "src long, dst long")
