@@ -32,10 +32,10 @@ def _pages(spark, sf):
     return d.derive(spark, sf, d.PAGES)
 
 
-def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_pages(spark: SparkSession, sf_dir: str, digest: bool = False) -> DataFrame:
     """Parsed rows of all `pages`, whatever their length; html is read and parsed once, and the text columns are pruned where nobody asks for them."""
     p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("page_idx"), "url", "html")
-    return extract_pages(p).withColumn("url_key", urls.url_key(F.col("url")))
+    return extract_pages(p, digest).withColumn("url_key", urls.url_key(F.col("url")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,7 @@ def page_issue_counts(spark, sf):
 
 def visible_word_count(spark, sf):
     """Words that a page shows, and a digest of its text without headings, which content hashes are taken of."""
-    p = parsed_pages(spark, sf)
-    return p.select("page_idx", "word_count", "fingerprint_words", F.sha2(F.regexp_replace("fingerprint_text", r"\s+", ""), 256).alias("text_sha256"))
+    return parsed_pages(spark, sf, digest=True).select("page_idx", "word_count", "fingerprint_words", "text_sha256")
 
 
 def _rich(spark, sf):

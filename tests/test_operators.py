@@ -279,6 +279,19 @@ def test_visible_words_of_cut_references(spark, tmp_path):
     assert got == answers_of_sql("visible_word_count", tmp_path)
 
 
+def test_digests_keep_white_space_that_is_no_blank(spark, tmp_path):
+    """The SQL's digest leaves out blanks, tabs and line ends only: no-break and wide spaces and control characters are text."""
+    from auditlake.plans import catalog
+
+    texts = ["plain text", "no\u00a0break", "\u3000wide \u2003\u2028", "\x0b\x1c\x85", "<p>\u00a0</p>one", " \t\r\n\f", "plain\t\r\n\ftext", "<h2>\u00a0out</h2>plain text"]
+    page = lambda text: f"<html><head><title>t</title></head><body><article><h1>\u00a0t</h1><p>{text}<p> \u00a0 </article></body></html>"
+    spark.createDataFrame([(k, f"https://e.example/{k}", page(t)) for k, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["visible_word_count"](spark, str(tmp_path)).collect())
+    assert [r[1:3] for r in got] == [(3, 2), (3, 2), (2, 1), (1, 0), (2, 1), (1, 0), (3, 2), (4, 2)]
+    assert got[0][3] == got[6][3] == got[7][3] and len({r[3] for r in got}) == 6
+    assert got == answers_of_sql("visible_word_count", tmp_path)
+
+
 def test_click_depth_has_no_limit(spark):
     """A path of 16 pages, with a shorter way to one of them, a cycle, and pages out of reach."""
     edges = spark.createDataFrame([(k, k + 1) for k in range(16)] + [(16, 0), (0, 10), (5, 5), (70, 71), (0, 1)], "src long, dst long")
